@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality, urls
+from . import pieces, quality, urls
 
 QUERIES = {
     "op4_url_rules": urls.op4_url_rules,
+    "op7_sentencepiece": pieces.op7_sentencepiece,
     "op8_quality": quality.op8_quality,
 }
 

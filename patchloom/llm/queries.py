@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import pieces, quality, urls
+from . import grammar, pieces, quality, urls
 
 QUERIES = {
     "op4_url_rules": urls.op4_url_rules,
     "op7_sentencepiece": pieces.op7_sentencepiece,
     "op8_quality": quality.op8_quality,
+    "op9_grammar": grammar.op9_grammar,
 }
 
 ORACLES = {

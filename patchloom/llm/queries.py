@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import grammar, pieces, quality, urls
+from . import grammar, pieces, quality, recipes, urls
 
 QUERIES = {
+    "op2_recipes": recipes.op2_recipes,
     "op4_url_rules": urls.op4_url_rules,
     "op7_sentencepiece": pieces.op7_sentencepiece,
     "op8_quality": quality.op8_quality,
@@ -12,5 +13,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_recipes": recipes.OP2_SQL,
     "op4_url_rules": urls.OP4_SQL,
 }

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import grammar, pieces, quality, recipes, urls
+from . import grammar, nearby, pieces, quality, recipes, urls
 
 QUERIES = {
     "op2_recipes": recipes.op2_recipes,
+    "op3_near": nearby.op3_near,
     "op4_url_rules": urls.op4_url_rules,
     "op7_sentencepiece": pieces.op7_sentencepiece,
     "op8_quality": quality.op8_quality,

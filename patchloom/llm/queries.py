@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import grammar, nearby, pieces, quality, recipes, urls
+from . import crf, grammar, nearby, pieces, quality, recipes, urls
 
 QUERIES = {
+    "op1_language": crf.op1_language,
     "op2_recipes": recipes.op2_recipes,
     "op3_near": nearby.op3_near,
     "op4_url_rules": urls.op4_url_rules,

@@ -13,6 +13,7 @@ import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,25 +38,26 @@ LEAST = 256
 def compress(ids: np.ndarray, vocabulary: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """The remaining sequence and the rules (pairs); rule i is the symbol vocabulary + i.
 
-    Each round replaces all pairs found at least as often as an eighth of the most frequent one, the more frequent first where
+    Each round replaces all pairs found at least as often as a sixteenth of the most frequent one, the more frequent first where
     they overlap, and repeats of one symbol from the left. Rounds go on until no pair occurs `least` times.
     """
-    seq, rules = ids.astype(np.int64), np.zeros((0, 2), np.int64)
+    seq, rules = ids.astype(np.int32), np.zeros((0, 2), np.int64)
     while len(seq) > 1:
         small = vocabulary + len(rules) <= 0xFFFF
-        keys = (seq[:-1] << 16 | seq[1:]).astype(np.uint32) if small else seq[:-1] << 32 | seq[1:]
+        wide = seq.astype(np.uint32 if small else np.int64)
+        keys = wide[:-1] << (16 if small else 32) | wide[1:]
         order = np.argsort(keys)
         ordered = keys[order]
         starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
         counts = np.diff(np.append(starts, len(ordered)))
-        chosen = np.flatnonzero(counts >= max(least, counts.max() // 8))
+        chosen = np.flatnonzero(counts >= max(least, counts.max() // 16))
         if not len(chosen):
             break
         chosen = chosen[np.lexsort((ordered[starts[chosen]], -counts[chosen]))]
         places = gather(order, starts[chosen], counts[chosen])
-        level = np.full(len(seq) + 1, len(chosen), np.int64)  # of the pair at i, in level[i + 1]
-        level[places + 1] = np.repeat(np.arange(len(chosen)), counts[chosen])
-        at = np.sort(places)
+        level = np.full(len(seq) + 1, len(chosen), np.int32)  # of the pair at i, in level[i + 1]
+        level[places + 1] = np.repeat(np.arange(len(chosen), dtype=np.int32), counts[chosen])
+        at = np.flatnonzero(level < len(chosen)) - 1
         run = np.flatnonzero(np.append(True, (at[1:] != at[:-1] + 1) | (level[at[1:] + 1] != level[at[:-1] + 1])))
         odd = (np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2
         level *= 2
@@ -81,15 +83,24 @@ def lengths_of(rules: np.ndarray, vocabulary: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+class Expander:
+    """The ids of each symbol, one after the other in one array; a rule only uses earlier symbols."""
+
+    def __init__(self, rules: np.ndarray, vocabulary: int):
+        each: list[np.ndarray] = []
+        of = lambda x: each[x - vocabulary] if x >= vocabulary else np.array([x])
+        for a, b in rules.tolist():
+            each.append(np.concatenate([of(a), of(b)]))
+        self.lengths = np.append(np.ones(vocabulary, np.int64), [len(x) for x in each]).astype(np.int64)
+        self.flat = np.concatenate([np.arange(vocabulary), *each]).astype(np.uint32)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def __call__(self, seq: np.ndarray) -> np.ndarray:
+        return gather(self.flat, self.starts[seq], self.lengths[seq])
+
+
 def expand(seq: np.ndarray, rules: np.ndarray, vocabulary: int) -> np.ndarray:
-    while (deep := seq >= vocabulary).any():
-        to = np.cumsum(1 + deep) - 1 - deep
-        out = np.empty(len(seq) + int(deep.sum()), np.int64)
-        out[to[~deep]] = seq[~deep]
-        pair = rules[seq[deep] - vocabulary]
-        out[to[deep]], out[to[deep] + 1] = pair[:, 0], pair[:, 1]
-        seq = out
-    return seq
+    return Expander(rules, vocabulary)(seq)
 
 
 # ---- the file
@@ -132,28 +143,35 @@ class File:
         self.long = take("<u8", rules).astype(np.int64)
         self.before = take("<u8", steps).astype(np.int64)
         self.seq = take(f"<u{wide}", symbols)
+        self.expand = Expander(self.rules, self.vocabulary)
         if at != len(raw):
             raise ValueError("the file's length doesn't fit its head")
 
     def all(self) -> np.ndarray:
-        return expand(self.seq.astype(np.int64), self.rules, self.vocabulary)
+        return self.expand(self.seq)
 
     def span(self, start: int, stop: int) -> np.ndarray:
         """Ids start to stop, decoding only the blocks of STEP symbols that hold them."""
         if not 0 <= start <= stop <= self.n_ids:
             raise IndexError("span outside the shard")
         if start == stop:
-            return np.zeros(0, np.int64)
+            return np.zeros(0, np.uint32)
         a = int(np.searchsorted(self.before, start, "right")) - 1
         b = int(np.searchsorted(self.before, stop, "left"))
-        out = expand(self.seq[a * STEP : b * STEP].astype(np.int64), self.rules, self.vocabulary)
+        out = self.expand(self.seq[a * STEP : b * STEP])
         return out[start - self.before[a] : stop - self.before[a]]
 
 
 # ---- the tokenizer
 
 #: Words of letters that never combine with others, with at most one mark behind: one or two tokens' ends in a joined text.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?]?)")
+
+
+def ends_of(word: str) -> int:
+    """How many tokens of a plain word carry an end: 1, or 2 with a mark behind; 0 for any other word."""
+    m = PLAIN.fullmatch(word)
+    return 0 if m is None else 2 if m[1] else 1
 
 
 class Words:
@@ -180,23 +198,31 @@ class Words:
 
     def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words, flat, and how many each has. Plain words are joined: the ends that the tokens carry tell them apart."""
-        out: list[np.ndarray | None] = [None] * len(units)
-        found = [PLAIN.fullmatch(x) for x in units]
-        plain = [i for i, m in enumerate(found) if m]
+        marks = list(map(ends_of, units))
+        plain, rest = [i for i, m in enumerate(marks) if m], []
+        pieces, owners, sizes = [], [], []
         for k in range(0, len(plain), 4000):
             own = plain[k : k + 4000]
             ids = np.array(self.library.encode(" ".join([units[i] for i in own]), add_special_tokens=False).ids, np.int32)
             last = np.flatnonzero(self.ends[ids]) + 1
-            each = np.array([1 + bool(found[i][2]) for i in own])
+            each = np.array([marks[i] for i in own])
             if len(last) != each.sum():
+                rest += own
                 continue
-            stops = last[np.cumsum(each) - 1].tolist()
-            for i, a, b in zip(own, [0, *stops], stops, strict=False):
-                out[i] = ids[a:b]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, e in zip(rest, self.library.encode_batch_fast([units[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, np.int32)
-        return (np.concatenate(out) if out else np.zeros(0, np.int32)), np.fromiter(map(len, out), np.int64, len(out))
+            pieces.append(ids)
+            owners += own
+            sizes.append(np.diff(last[np.cumsum(each) - 1], prepend=0))
+        rest += [i for i, m in enumerate(marks) if not m]
+        if rest:
+            got = [e.ids for e in self.library.encode_batch_fast([units[i] for i in rest], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+            pieces.append(np.fromiter(chain.from_iterable(got), np.int32, int(sizes[-1].sum())))
+            owners += rest
+        if not owners:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        flat, n, to = np.concatenate(pieces), np.concatenate(sizes), np.empty(len(units), np.int64)
+        to[owners] = np.arange(len(units))
+        return gather(flat, (np.cumsum(n) - n)[to], n[to]), n[to]
 
     def block(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, flat, and how many each text has."""
@@ -204,7 +230,7 @@ class Words:
             self.clear()
         starts, ends, row = words(data, offs)
         keys = Spans(BYTE[data])(starts, ends)
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         lead = np.append(True, keys[order[1:]] != keys[order[:-1]]) if len(keys) else np.zeros(0, bool)
         of = np.empty(len(keys), np.int64)
         of[order] = np.cumsum(lead) - 1
@@ -218,8 +244,10 @@ class Words:
         have = self.keys[at] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
         new = np.flatnonzero(~have)
         if len(new):
-            raw = data.tobytes()
-            ids, n = self.encode([raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            at_new, n_new = starts[first[new]], sizes[first[new]] + 1
+            joined = gather(np.append(data, np.uint8(32)), at_new, n_new)
+            joined[np.cumsum(n_new) - 1] = 10  # a word is followed by white space, or by the next row
+            ids, n = self.encode(joined[:-1].tobytes().decode().split("\n"))
             while self.used + len(ids) > len(self.flat):
                 self.flat = np.append(self.flat, np.zeros_like(self.flat))
             self.flat[self.used : self.used + len(ids)] = ids

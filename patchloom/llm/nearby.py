@@ -6,10 +6,13 @@ similarity. What may reach the threshold is confirmed on the full shingle sets.
 from the start; links within what is already connected are never looked at again, so a large group of near copies costs a
 star of links and not all its pairs:
 
-1. in every band bucket the classes are compared with the bucket's least class, the best such pair of each class is
-   confirmed first, and components are formed;
-2. every remaining pair of a bucket whose classes aren't connected yet is confirmed, the pairs within a bucket too that its
-   least class is no part of, and the components are joined.
+1. in every band bucket the classes are compared with the bucket's least class. Pairs that the estimate lets pass form
+   clusters; the best such pair of each class is confirmed, and confirmed pairs form components;
+2. classes of a bucket that lie in different clusters are compared too, in blocks, so that no pair of a bucket that the
+   estimate lets pass leaves its cluster;
+3. where a cluster has more than one component, the classes outside its largest one meet all others of the cluster, in
+   blocks of texts; a block returns the components that it joins, so what is written grows with the classes, not with
+   their pairs.
 
 A pair is missed only when no band holds it: at a similarity of exactly 0.8 with a chance of (1 - 0.8**ROWS)**BANDS, 5e-6.
 """
@@ -187,6 +190,99 @@ def confirmed(pairs: DataFrame, texts: DataFrame, p: Near) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
+#: Classes of a block in which all are compared with all.
+BLOCK = 512
+
+
+def spanning(pairs: Iterator[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Of the pairs those that join what the ones before them leave apart."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := root.setdefault(x, x)) != x:
+            root[x] = root[y] if y in root else y
+            x = root[x]
+        return x
+
+    a, b = [], []
+    for x, y in pairs:
+        u, v = find(x), find(y)
+        if u != v:
+            root[max(u, v)] = min(u, v)
+            a.append(x)
+            b.append(y)
+    return a, b
+
+
+def dealt(df: DataFrame, key: str, count: str) -> DataFrame:
+    """df once for each pair of blocks of its key that it belongs to: columns i <= j, and own, the block it is in. Blocks have about BLOCK rows."""
+    out = df.withColumn("_k", F.ceil(F.col(count) / BLOCK)).withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("_k")))
+    out = out.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_k") - 1)))
+    return out.withColumn("i", F.least("own", "_o")).withColumn("j", F.greatest("own", "_o")).drop("_k", "_o")
+
+
+def bridges(members: DataFrame, clusters: DataFrame, classes: DataFrame, p: Near) -> DataFrame:
+    """a, b: clusters with a pair that shares a bucket, isn't its bucket's least class, and that the estimate lets pass."""
+    own = members.where("size > 2 AND node <> lead").join(clusters.toDF("node", "_c"), "node", "left").withColumn("cluster", F.coalesce("_c", "node"))
+    open_ = own.groupBy("bucket").agg(F.min("cluster").alias("_lo"), F.max("cluster").alias("_hi")).where("_lo < _hi").select("bucket")
+    rows = dealt(own.select("bucket", "node", "cluster", "size").join(open_, "bucket"), "bucket", "size").join(classes.select("node", "n", "bits"), "node")
+
+    def run(t: pa.Table) -> pa.Table:
+        n, cluster = t.column("n").to_numpy(), t.column("cluster").to_numpy()
+        bits = np.array(t.column("bits").to_pylist(), np.int64).view(np.uint64).reshape(len(n), p.bits, p.words)
+
+        def found() -> Iterator[tuple[int, int]]:
+            for x in range(len(n)):
+                other = np.bitwise_or.reduce(bits[x + 1 :] ^ bits[x], axis=1)
+                share = 1 - np.bitwise_count(other).sum(axis=1) / p.minima
+                est = (share - 0.5**p.bits) / (1 - 0.5**p.bits)
+                near = (est >= p.similarity / 100 - p.margin) & (100 * np.minimum(n[x + 1 :], n[x]) >= p.similarity * np.maximum(n[x + 1 :], n[x])) & (cluster[x + 1 :] != cluster[x])
+                for y in np.unique(cluster[x + 1 :][near]).tolist():
+                    yield int(cluster[x]), y
+
+        a, b = spanning(found())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.select("bucket", "i", "j", "n", "cluster", "bits").groupBy("bucket", "i", "j").applyInArrow(run, "a bigint, b bigint")
+
+
+def joins(clusters: DataFrame, labels: DataFrame, texts: DataFrame, p: Near) -> DataFrame:
+    """a, b: components with a link between them, of all pairs within a cluster."""
+    own = clusters.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sizes = own.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("k"))
+    main = sizes.groupBy("cluster").agg(F.max(F.struct("k", "label")).alias("m"), F.sum("k").alias("all")).where("all > m.k").selectExpr("cluster", "m.label AS main", "`all` - m.k AS n_out", "m.k AS n_in")
+    own = own.join(main, "cluster").withColumn("out", F.col("label") != F.col("main"))
+    # the others among themselves, and each block of them with each block of the largest component
+    outer = dealt(own.where("out").select("cluster", "node", "label", "n_out"), "cluster", "n_out").select("cluster", "node", "label", F.lit(True).alias("out"), "i", "j", F.lit(0).alias("kind"))
+    blocks_in, blocks_out = F.ceil(F.col("n_in") / BLOCK), F.ceil(F.col("n_out") / BLOCK)
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+    a = own.where("out").withColumn("i", F.pmod(F.xxhash64("node", F.lit(1)), blocks_out)).withColumn("j", upto(blocks_in))
+    b = own.where("NOT out").withColumn("j", F.pmod(F.xxhash64("node", F.lit(1)), blocks_in)).withColumn("i", upto(blocks_out))
+    mixed = a.unionByName(b).select("cluster", "node", "label", "out", "i", "j", F.lit(1).alias("kind"))
+
+    def run(t: pa.Table) -> pa.Table:
+        keys, edge = shingles(*flat(t.column("text")), p.shingle)
+        label, out, n = t.column("label").to_numpy(), t.column("out").to_numpy(), np.diff(edge)
+        _, of = np.unique(keys, return_inverse=True)
+        mark = np.zeros(int(of.max()) + 1 if len(of) else 0, np.int64)
+
+        def found() -> Iterator[tuple[int, int]]:
+            for x in np.flatnonzero(out).tolist():
+                mine = of[edge[x] : edge[x + 1]]
+                mark[mine] = 1
+                both = np.add.reduceat(mark[of], edge[:-1])
+                mark[mine] = 0
+                near = (100 * both >= p.similarity * (n + n[x] - both)) & (label != label[x])
+                for y in np.unique(label[near]).tolist():
+                    yield int(label[x]), y
+
+        a, b = spanning(found())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    rows = outer.unionByName(mixed).join(texts.dropDuplicates(["node"]), "node")
+    return rows.groupBy("cluster", "kind", "i", "j").applyInArrow(run, "a bigint, b bigint")
+
+
 def near_duplicates(df: DataFrame, scratch: Scratch, p: Near = Near()) -> DataFrame:
     """One row for each row of df(doc_id, text, ..): doc_id, n_shingles, component_id, kept.
 
@@ -206,29 +302,23 @@ def near_duplicates(df: DataFrame, scratch: Scratch, p: Near = Near()) -> DataFr
     star = scratch.write(promising(members.where("node <> lead").selectExpr("lead AS a", "node AS b").distinct(), classes, p), "star")
     best = scratch.write(star.groupBy("b").agg(F.max(F.struct("est", "a")).alias("m")).selectExpr("m.a AS a", "b"), "best")
 
-    # the texts of all classes that share a bucket with another
-    asked = members.select("node").distinct().join(classes.select("node", "doc"), "node").select(F.col("doc").alias("_doc")).distinct()
+    # texts of all classes that some estimate lets pass
+    clusters = components(star.select("a", "b"), scratch, "clusters")
+    wider = components(bridges(members, clusters, classes, p), scratch, "wider")
+    clusters = clusters.join(wider.toDF("label", "_w"), "label", "left").selectExpr("node", "coalesce(_w, label) AS cluster")
+    lone = members.select("node").distinct().join(clusters, "node", "left_anti").join(wider.toDF("node", "cluster"), "node")
+    clusters = scratch.write(clusters.unionByName(lone), "all-clusters")
+    asked = clusters.join(classes.select("node", "doc"), "node").select(F.col("doc").alias("_doc")).distinct()
     texts = scratch.write(with_node(df.join(asked, F.col("doc_id") == F.col("_doc")), p), "texts")
     links = scratch.write(confirmed(best, texts, p), "links")
     labels = components(links, scratch, "first")
-
-    ends = lambda pairs: pairs.join(labels.toDF("a", "_la"), "a", "left").join(labels.toDF("b", "_lb"), "b", "left").selectExpr("a", "b", "coalesce(_la, a) AS la", "coalesce(_lb, b) AS lb")
-    rest = ends(star.select("a", "b").join(best, ["a", "b"], "left_anti")).where("la <> lb").select("a", "b")
-    # pairs that their bucket's least class is no part of: one of the two is outside that class's component
-    large = members.where("size > 2").join(labels, "node", "left").join(labels.toDF("lead", "_ll"), "lead", "left")
-    large = scratch.write(large.selectExpr("bucket", "node", "lead", "coalesce(label, node) AS label", "coalesce(label, node) <> coalesce(_ll, lead) AS out"), "large")
-    outside = large.where("out").selectExpr("bucket", "node AS x", "label AS lx")
-    inside = large.where("node <> lead").selectExpr("bucket", "node AS y", "label AS ly", "out")
-    cross = outside.join(inside, "bucket").where("lx <> ly AND (NOT out OR x < y)").selectExpr("least(x, y) AS a", "greatest(x, y) AS b").distinct()
-    more = scratch.write(rest.union(promising(cross, classes, p).select("a", "b")).distinct(), "more")
-    joined = ends(confirmed(more, texts, p)).selectExpr("la AS a", "lb AS b")
-    over = components(joined, scratch, "second")
+    over = components(joins(clusters, labels, texts, p), scratch, "second")
 
     tops = classes.select("key", "doc", "node").join(labels, "node", "left").withColumn("_l", F.coalesce("label", "node")).join(over.toDF("_l", "_top"), "_l", "left")
     tops = scratch.write(tops.select("key", "doc", F.coalesce("_top", "_l").alias("top")), "tops")
     least = scratch.write(tops.groupBy("top").agg(F.min("doc").alias("component_id")), "least")
     final = scratch.write(tops.join(least, "top").select(F.col("key").alias("_key"), "component_id"), "final")
-    scratch.drop("members", "star", "best", "large", "texts", "links", "leads", "more", "classes", "tops", "least", "first-labels", "second-labels")
+    scratch.drop("members", "star", "best", "all-clusters", "texts", "links", "leads", "classes", "tops", "least", "clusters-labels", "wider-labels", "first-labels", "second-labels")
     out = held.where("n > 0").join(final, F.col("key") == F.col("_key"), "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     empty = held.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.union(empty).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

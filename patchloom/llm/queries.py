@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import crf, grammar, nearby, pieces, quality, recipes, urls
+from . import crf, grammar, longmatch, nearby, pieces, quality, recipes, urls
 
 QUERIES = {
     "op1_language": crf.op1_language,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_sentencepiece": pieces.op7_sentencepiece,
     "op8_quality": quality.op8_quality,
     "op9_grammar": grammar.op9_grammar,
+    "op10_long_matches": longmatch.op10_long_matches,
 }
 
 ORACLES = {

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import crf, grammar, longmatch, nearby, pieces, quality, recipes, urls
+from . import crf, grammar, longmatch, mixing, nearby, pieces, quality, recipes, toolcalls, urls
 
 QUERIES = {
     "op1_language": crf.op1_language,
     "op2_recipes": recipes.op2_recipes,
     "op3_near": nearby.op3_near,
     "op4_url_rules": urls.op4_url_rules,
+    "op5_mixing": mixing.op5_mixing,
+    "op6_tool_calls": toolcalls.op6_tool_calls,
     "op7_sentencepiece": pieces.op7_sentencepiece,
     "op8_quality": quality.op8_quality,
     "op9_grammar": grammar.op9_grammar,
@@ -18,4 +20,6 @@ QUERIES = {
 ORACLES = {
     "op2_recipes": recipes.OP2_SQL,
     "op4_url_rules": urls.OP4_SQL,
+    "op5_mixing": mixing.OP5_SQL,
+    "op6_tool_calls": toolcalls.OP6_SQL,
 }

@@ -69,7 +69,7 @@ def segments(data: np.ndarray, offs: np.ndarray, p: Match) -> tuple[np.ndarray,
     if not len(at):
         return at, at, np.zeros(0, U64), np.zeros(0, U64)
     spans = Spans(BYTE[data])
-    grams = spans(np.arange(len(data) - p.gram + 1), np.arange(p.gram, len(data) + 1))
+    grams = (spans.sums[p.gram :] - spans.sums[: -p.gram]) * spans.back[: len(data) - p.gram + 1]
     least = slide(grams, p.length - p.gram + 1)[at]
     begin = np.flatnonzero(np.append(True, (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1)))
     size = np.diff(np.append(begin, len(at)))

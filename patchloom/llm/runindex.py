@@ -86,8 +86,10 @@ class RunIndex:
         same = (ranks[order[1:]] == ranks[order[:-1]]) & (ranks[step[1:]] == ranks[step[:-1]])
         lead = np.flatnonzero(np.append(True, ~same))
         holder = np.repeat(owner, sizes + 1)
-        self.group = lead
-        self.least = np.minimum.reduceat(holder[order], lead)
+        # tables from row to run and to the least owner; an index is one partition's, so they are small, and a look-up is one read
+        self.least = np.repeat(np.minimum.reduceat(holder[order], lead), np.diff(np.append(lead, n)))
+        self.run = np.repeat(np.arange(len(long), dtype=np.int32), long)
+        self.shift = (self.to - self.starts).astype(np.int32)
 
     def common(self, at: np.ndarray, pattern: np.ndarray, start: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Length of the common prefix, up to `most`, of the index's text from `at` and the pattern's from `start`."""
@@ -105,18 +107,17 @@ class RunIndex:
     def stream(self, data: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Matching statistics: for every position of the patterns the match's length, and a row with an occurrence."""
         pattern = data.astype(np.int16) + 1
-        length, row = np.zeros(len(data), np.int64), np.zeros(len(data), np.int64)
+        length, row = np.zeros(len(data), np.int32), np.zeros(len(data), np.int32)
         sizes = np.diff(edge)
         by_size = np.argsort(-sizes, kind="stable")
         ends, active = edge[1:][by_size], np.searchsorted(-sizes[by_size], -np.arange(1, (sizes.max() if len(sizes) else 0) + 1), side="right")
-        q = np.zeros(len(sizes), np.int64)
-        pos = np.full(len(sizes), self.top[0], np.int64)
-        m = np.zeros(len(sizes), np.int64)
+        q, m = np.zeros(len(sizes), np.int32), np.zeros(len(sizes), np.int32)
+        pos = np.full(len(sizes), self.top[0], np.int32)
         for t, k in enumerate(active.tolist()):
             here = ends[:k] - 1 - t
             c = pattern[here]
             q, pos, m = q[:k], pos[:k], m[:k]
-            run = np.searchsorted(self.starts, q, side="right") - 1
+            run = self.run[q]
             off = np.flatnonzero(self.chars[run] != c)
             if len(off):
                 lo, hi = self.char_at[c[off]], self.char_at[c[off] + 1]
@@ -137,7 +138,7 @@ class RunIndex:
                 if none.any():  # a character that the index doesn't have: the match starts anew
                     gone = off[none]
                     m[gone] = -1
-            q = self.to[run] + q - self.starts[run]
+            q = q + self.shift[run]
             pos = pos - 1
             m = m + 1
             fresh = m == 0
@@ -155,4 +156,4 @@ class RunIndex:
 
     def least_owner(self, row: np.ndarray) -> np.ndarray:
         """The least owner of the strings that hold the `length` symbols with which the suffix of a row begins."""
-        return self.least[np.searchsorted(self.group, row, side="right") - 1]
+        return self.least[row]

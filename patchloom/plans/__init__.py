@@ -1 +1 @@
-
+"""Plans made of the operators: the batch run, generated cases, and the registered queries."""

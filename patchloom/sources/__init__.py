@@ -1 +1 @@
-
+"""Reading and writing of cases, submissions, results and caches."""

@@ -6,8 +6,8 @@ Every byte that lies in a string of LENGTH bytes which also starts in a document
    Equal windows have equal names, wherever they are, so a window can only repeat where its segment's name does.
 2. Names meet in hash partitions, packed and without the repeats inside a block of text. There each segment learns whether
    its name occurs in two documents, and whether the same segment occurs in a document with a smaller doc_id.
-3. The first occurrences of the segments whose name repeats form, partition by partition, a run-length index; they are
-   streamed against it, and the matching statistics tell for each of their windows the least document that has it. Segments
+3. The first occurrences of the segments whose name repeats form, partition by partition, a run-length index; those whose name
+   a smaller document has are streamed against it, and the matching statistics tell for each of their windows the least document that has it. Segments
    equal to an earlier one need no stream of their own: all their windows are in the earlier document.
 4. Each block marks its windows and cuts.
 
@@ -198,8 +198,8 @@ def announce(blocks_: DataFrame, p: Match) -> DataFrame:
 
 
 def decide(t: pa.Table) -> pa.Table:
-    """codes of the segments of one partition: 1 if the same segment is in a smaller document, 2 if it isn't but its name is in
-    another document, 0 if neither. A name is known by 5 bytes here, beside the partition: one more that seems to repeat is only looked at."""
+    """codes of the segments of one partition: 1 if the same segment is in a smaller document; else 2 if its name is in a smaller one, 3 if it is
+    in larger ones only, 0 if it is in no other. A name is known by 5 bytes here, beside the partition: one more that seems to repeat is only looked at."""
     names, wholes, docs, sizes = [], [], [], []
     for d, r, n, w in zip(*(t.column(x).to_pylist() for x in ("docs", "rows", "names", "wholes")), strict=True):
         names.append(high(n, 5))
@@ -209,31 +209,32 @@ def decide(t: pa.Table) -> pa.Table:
     name, whole, doc = np.concatenate(names), np.concatenate(wholes), np.concatenate(docs)
     first, last = least_in_group(name, doc, most=True)
     same = least_in_group(pair(name, whole), doc)[0]
-    code = np.where(same < doc, 1, np.where(first < last, 2, 0)).astype(np.uint8)
+    code = np.where(same < doc, 1, np.where(first < last, np.where(first < doc, 2, 3), 0)).astype(np.uint8)
     edge = np.append(0, np.cumsum(sizes)).tolist()
     return pa.table({"part": t.column("part"), "block": t.column("block"), "codes": pa.array([code[i:j].tobytes() for i, j in zip(edge, edge[1:], strict=False)], pa.binary())})
 
 
 def send(blocks_: DataFrame, p: Match) -> DataFrame:
-    """part, block, at, docs, sizes, data: the first occurrences of segments whose name repeats, packed for each partition."""
+    """part, block, at, docs, sizes, asks, data: the first occurrences of segments whose name repeats, packed for each partition; asks tells
+    those that have something to look for, as a smaller document has their name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             b = Block(row, p)
             code = b.codes(row["decided"])
-            order = b.by_part[code[b.by_part] == 2]
+            order = b.by_part[code[b.by_part] >= 2]
             if not len(order):
                 continue
-            at, part = b.own[order], b.part[order]
+            at, part, asks = b.own[order], b.part[order], code[order] == 2
             size = b.count[at] + p.length - 1
             doc = b.doc(at)
             edge = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
             out = []
             for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                out.append({"part": int(part[i]), "block": b.id, "at": at[i:j].astype("<u4").tobytes(), "docs": doc[i:j].tobytes(), "sizes": size[i:j].astype("<u2").tobytes(), "data": gather(b.data, b.start[at[i:j]], size[i:j]).tobytes()})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("part", pa.int64()), ("block", pa.int64()), *((x, pa.binary()) for x in ("at", "docs", "sizes", "data"))]))
+                out.append({"part": int(part[i]), "block": b.id, "at": at[i:j].astype("<u4").tobytes(), "docs": doc[i:j].tobytes(), "sizes": size[i:j].astype("<u2").tobytes(), "asks": asks[i:j].tobytes(), "data": gather(b.data, b.start[at[i:j]], size[i:j]).tobytes()})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("part", pa.int64()), ("block", pa.int64()), *((x, pa.binary()) for x in ("at", "docs", "sizes", "asks", "data"))]))
 
-    return blocks_.mapInArrow(run, "part bigint, block bigint, at binary, docs binary, sizes binary, data binary")
+    return blocks_.mapInArrow(run, "part bigint, block bigint, at binary, docs binary, sizes binary, asks binary, data binary")
 
 
 def match(p: Match):
@@ -245,15 +246,19 @@ def match(p: Match):
         of = np.repeat(np.arange(len(at)), [len(x) for x in at])
         at, doc, size, data = np.concatenate(at), np.concatenate(docs), np.concatenate(sizes).astype(np.int64), np.concatenate(data)
         edge = np.append(0, np.cumsum(size))
+        ask = np.flatnonzero(np.concatenate(col("asks", bool)))
+        if not len(ask):
+            return pa.table({"block": pa.array([], pa.int64()), "found": pa.array([], pa.binary())})
         index = RunIndex(data, edge, doc, p.length)
-        length, row = index.stream(data, edge)
-        owner = np.repeat(np.arange(len(size)), size)
+        inner = np.append(0, np.cumsum(size[ask]))
+        length, row = index.stream(gather(data, edge[ask], size[ask]), inner)
+        owner = np.repeat(ask, size[ask])
         hit = np.flatnonzero(length >= p.length)
         hit = hit[index.least_owner(row[hit]) < doc[owner[hit]]]
         lead = np.flatnonzero(np.append(True, (hit[1:] != hit[:-1] + 1) | (owner[hit[1:]] != owner[hit[:-1]]))) if len(hit) else np.zeros(0, np.int64)
         many = np.diff(np.append(lead, len(hit)))
         seg = owner[hit[lead]]
-        first = hit[lead] - edge[seg]
+        first = hit[lead] - inner[np.searchsorted(ask, seg)]
         out_block, found = [], []
         for k, name in enumerate(t.column("block").to_pylist()):
             own = of[seg] == k

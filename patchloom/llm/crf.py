@@ -28,8 +28,8 @@ class Training:
     """The model is fitted on a bounded sample: at most `documents` labelled texts of at most `characters` characters, taken in the
     order of a hash of their doc_id, whole. The bound keeps the driver's work the same whatever the input."""
 
-    documents: int = 1500
-    characters: int = 8000
+    documents: int = 600
+    characters: int = 6000
     bits: int = 17
     grams: tuple[int, ...] = (1, 2, 3, 4)
     sequence: int = 64
@@ -43,9 +43,13 @@ class Training:
 @lru_cache(1)
 def letters() -> tuple[np.ndarray, np.ndarray]:
     """For each code point whether it is a letter, and its lower case as a 64-bit random value."""
-    chars = [chr(i) for i in range(0x110000)]
-    low = np.fromiter((ord(x) if len(x := c.lower()) == 1 else ord(c) for c in chars), np.uint32, len(chars))
-    return np.fromiter((c.isalpha() for c in chars), bool, len(chars)), low
+    def small(c: str) -> int:
+        x = c.lower()
+        return ord(x if len(x) == 1 else c)
+
+    every = range(0x110000)
+    return np.fromiter((chr(i).isalpha() for i in every), bool, len(every)), np.fromiter((small(chr(i)) for i in every), np.uint32, len(every))
+
 
 
 def value(codes: np.ndarray) -> np.ndarray:
@@ -178,7 +182,7 @@ def fit(texts: list[str], langs: list[str], t: Training = Training()) -> Model:
     inside = np.ones(len(of), bool)
     inside[begins] = False
     follow = np.flatnonzero(inside)  # positions with one before them in their sequence
-    spread = lambda index, rows, size: np.stack([np.bincount(index, rows[:, j], size) for j in range(k)], 1)
+    spread = lambda index, rows, size, at=slice(None): np.stack([np.bincount(index, rows[:, j][at], size) for j in range(k)], 1)
     model = Model(labels, params[0], s.keys[lexicon], params[1], params[2], t)
     for i in range(1, t.rounds + 1):
         scores = model.emissions(s)[of].astype(np.float64)
@@ -187,7 +191,7 @@ def fit(texts: list[str], langs: list[str], t: Training = Training()) -> Model:
         error[np.arange(len(of)), gold] -= 1
         by_word = spread(of, error, len(s.keys))
         true = np.bincount(gold[follow - 1] * k + gold[follow], minlength=k * k).reshape(k, k)
-        grads = [spread(bucket, by_word[word], 1 << t.bits), by_word[lexicon], pair - true]
+        grads = [spread(bucket, by_word, 1 << t.bits, word), by_word[lexicon], pair - true]
         for x, (m, v), g in zip(params, state, grads, strict=True):
             g = (g / max(len(of), 1) * 100 + t.decay * x).astype(np.float32)
             m += 0.1 * (g - m)

@@ -51,11 +51,12 @@ def training_set(cases: DataFrame, min_overlap: float = 0.6, min_margin: float =
     return own.select("case_id", "pos", "sentence", "body_part", F.when(sure, best["label"]).otherwise(L.DROP).alias("label"))
 
 
-def features(sentence: Column, body_part: Column, r: Router) -> Column:
-    t = tokenize(sentence)
-    out = t
+def features(tokens: Column, body_part: Column, r: Router) -> Column:
+    """Of a column of tokens, which should be one of its own, as each use would work it out again."""
+    out = tokens
     if r.bigrams:
-        out = F.concat(out, F.transform(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), lambda w, i: F.concat_ws("_", w, F.get(t, i + 1))))
+        n = F.greatest(F.size(tokens) - 1, F.lit(0))
+        out = F.concat(out, F.zip_with(F.slice(tokens, F.lit(1), n), F.slice(tokens, F.lit(2), n), lambda a, b: F.concat_ws("_", a, b)))
     if r.use_body_part:
         bp = F.lower(strip(F.coalesce(body_part, F.lit(""))))
         out = F.concat(out, F.when(F.coalesce(body_part, F.lit("")) != "", F.array(F.concat(F.lit("bp="), bp))).otherwise(F.array().cast("array<string>")))
@@ -77,7 +78,8 @@ def fit(labelled: DataFrame, r: Router = Router()) -> Model:
     """Of labelled(sentence, label, body_part). Priors are uniform; idf is of sentences over classes with the feature. Raises if nothing is
     left to learn from."""
     n = labelled.count()
-    counts = labelled.select("label", F.explode(features(F.col("sentence"), F.col("body_part"), r)).alias("feature")).groupBy("label", "feature").agg(F.count(F.lit(1)).alias("k"))
+    own = labelled.select("label", "body_part", tokenize(F.col("sentence")).alias("_t"))
+    counts = own.select("label", F.explode(features(F.col("_t"), F.col("body_part"), r)).alias("feature")).groupBy("label", "feature").agg(F.count(F.lit(1)).alias("k"))
     by_feature = counts.groupBy("feature").agg(F.count(F.lit(1)).alias("df"), F.sum("k").alias("total")).where(F.col("total") >= r.min_token_count)
     known = by_feature.select("feature", F.pow(F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1, F.lit(r.idf_power)).alias("idf"))
     v = known.count()
@@ -117,7 +119,8 @@ def route(rows: DataFrame, m: Model) -> DataFrame:
     rest = own.where(ruled.isNull() & (F.size("_labels") > 0)).withColumn("source", F.when(banned, "other-excluded").otherwise("nb"))
     pool = F.concat(F.when(banned, F.array_remove("_labels", L.OTHER_FINDINGS)).otherwise(F.col("_labels")), F.array(F.lit(L.DROP)))
     cand = rest.select("case_id", "pos", F.explode(F.array_distinct(pool)).alias("label")).join(m.classes, "label")
-    feats = rest.select("case_id", "pos", F.explode(features(F.col("sentence"), F.col("body_part"), r)).alias("feature")).join(m.vocabulary, "feature").groupBy("case_id", "pos", "feature").agg(F.count(F.lit(1)).alias("k"))
+    cut = rest.select("case_id", "pos", "body_part", tokenize(F.col("sentence")).alias("_t"))
+    feats = cut.select("case_id", "pos", F.explode(features(F.col("_t"), F.col("body_part"), r)).alias("feature")).join(m.vocabulary, "feature").groupBy("case_id", "pos", "feature").agg(F.count(F.lit(1)).alias("k"))
     scored = cand.join(feats, ["case_id", "pos"], "left").join(m.weights, ["label", "feature"], "left")
     scores = scored.groupBy("case_id", "pos", "label").agg(F.coalesce(F.sum(F.col("k") * F.coalesce("ll", "default")), F.lit(0.0)).alias("score"))
     order = W.partitionBy("case_id", "pos").orderBy(F.round("score", 9).desc(), F.col("label").desc())

@@ -217,7 +217,7 @@ def sample(df: DataFrame, t: Training) -> tuple[list[str], list[str]]:
 
 def identify(df: DataFrame, t: Training = Training(), model: Model | None = None, passed: bool = False) -> DataFrame:
     """doc_id, held_out, lang_pred, score, n_words of each row of df(doc_id, text, lang, ..); if passed, all columns of df with
-    _lang_pred and _score instead.
+    __patchloom_lang and __patchloom_score instead.
 
     Only texts and labels of rows that aren't held out train the model. A text that is null or has no letter is `und` with score
     0, as every text is where no labelled row exists. Held-out is false for a null doc_id, which trains nothing. Ties go to the
@@ -231,7 +231,7 @@ def identify(df: DataFrame, t: Training = Training(), model: Model | None = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for rows, data, offs in blocks(batches, "text", 6 << 20):
+        for rows, data, offs in blocks(batches, "text", 3 << 20):
             n, k = len(offs) - 1, len(m.labels)
             best, score, words = np.full(n, -1), np.zeros(n), np.zeros(n, np.int64)
             if k:
@@ -246,12 +246,12 @@ def identify(df: DataFrame, t: Training = Training(), model: Model | None = None
                     score[some] = np.clip(mean.max(axis=1), 0, 1)
             pred = [m.labels[i] if i >= 0 else "und" for i in best.tolist()]
             if passed:
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(pred, pa.string()), pa.array(score)], names=[*rows.schema.names, "_lang_pred", "_score"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(pred, pa.string()), pa.array(score)], names=[*rows.schema.names, "__patchloom_lang", "__patchloom_score"])
                 continue
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("held_out"), pa.array(pred, pa.string()), pa.array(score), pa.array(words)], names=["doc_id", "held_out", "lang_pred", "score", "n_words"])
 
     if passed:
-        return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType())]))
+        return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("__patchloom_lang", T.StringType()), T.StructField("__patchloom_score", T.DoubleType())]))
     own = df.select("doc_id", "text", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"))
     return own.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double, n_words bigint")
 
@@ -259,7 +259,7 @@ def identify(df: DataFrame, t: Training = Training(), model: Model | None = None
 def accepted(df: DataFrame, least: float = 0.5, t: Training = Training()) -> DataFrame:
     """The rows of df, with all their columns, whose text has a language with a score of at least `least`."""
     judged = identify(df, t, passed=True)
-    return judged.where((F.col("_lang_pred") != "und") & (F.col("_score") >= least)).select(*df.columns)
+    return judged.where((F.col("__patchloom_lang") != "und") & (F.col("__patchloom_score") >= least)).select(*df.columns)
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from ._units import gather
 
 MAGIC = b"RPG1"
 STEP = 1024
-#: Ids of a shard at which it is closed after a whole document.
+#: Ids of a shard at which it is closed, after the block of whole documents that reaches them.
 SHARD_IDS = 1 << 20
 #: A pair that occurs less often in its shard isn't replaced.
 LEAST = 256
@@ -297,7 +297,7 @@ def tokenizer(path: str) -> Words:
 FILES = "part bigint, shard bigint, base bigint, n_ids bigint, payload binary"
 
 
-def write_files(df: DataFrame, path: str, end_id: int, scratch: Scratch, name: str = "files", shard_ids: int = SHARD_IDS) -> DataFrame:
+def write_files(df: DataFrame, path: str, end_id: int, scratch: Scratch, name: str = "files", shard_ids: int = SHARD_IDS, block: int = 4 << 20) -> DataFrame:
     """Encodes df(doc_id, text, ..) in ascending doc_id order (null first, ties by text) and writes the shards' files.
 
     Each document gets end_id behind its ids; a null text is the empty one. Returns the files as a table: part and shard give
@@ -314,7 +314,7 @@ def write_files(df: DataFrame, path: str, end_id: int, scratch: Scratch, name: s
             return pa.RecordBatch.from_pylist([{"part": part, "shard": shard, "base": base, "n_ids": held, "payload": raw}], schema=schema)
 
         schema = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("base", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary())])
-        for rows, data, offs in blocks(batches, "text"):
+        for rows, data, offs in blocks(batches, "text", block):
             own, n = t.block(data, offs)
             to = np.cumsum(n + 1)
             out = np.full(int(to[-1]), end_id, np.int32)

@@ -309,7 +309,7 @@ def near_duplicates(df: DataFrame, scratch: Scratch, p: Near = Near()) -> DataFr
     lone = members.select("node").distinct().join(clusters, "node", "left_anti").join(wider.toDF("node", "cluster"), "node")
     clusters = scratch.write(clusters.unionByName(lone), "all-clusters")
     asked = clusters.join(classes.select("node", "doc"), "node").select(F.col("doc").alias("_doc")).distinct()
-    texts = scratch.write(with_node(df.join(asked, F.col("doc_id") == F.col("_doc")), p), "texts")
+    texts = scratch.write(with_node(df.select("doc_id", "text").join(asked, F.col("doc_id") == F.col("_doc")), p), "texts")
     links = scratch.write(confirmed(best, texts, p), "links")
     labels = components(links, scratch, "first")
     over = components(joins(clusters, labels, texts, p), scratch, "second")

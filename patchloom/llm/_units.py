@@ -21,7 +21,7 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
 
 
 class UnitEncoder:
-    def __init__(self, split: Callable[[str], Sequence[str]], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 250_000):
+    def __init__(self, split: Callable[[str], Sequence[str]], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 150_000):
         self.split, self.encode, self.most = split, encode, most
         self.clear()
 

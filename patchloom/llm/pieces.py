@@ -195,7 +195,7 @@ def encode_decode(df: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for rows, _, _ in blocks(batches, "text", 4 << 20):
+        for rows, _, _ in blocks(batches, "text", 2 << 20):
             ids, offs = m.encode([x or "" for x in rows.column("text").to_pylist()])
             raw = pa.Array.from_buffers(pa.large_binary(), len(offs) - 1, [None, pa.py_buffer(offs * 4), pa.py_buffer(ids.astype("<u4"))]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), raw, pa.array(m.decode(ids, offs), pa.string())], names=["doc_id", "ids", "decoded"])

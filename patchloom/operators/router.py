@@ -77,16 +77,18 @@ class Model:
 def fit(labelled: DataFrame, r: Router = Router()) -> Model:
     """Of labelled(sentence, label, body_part). Priors are uniform; idf is of sentences over classes with the feature. Raises if nothing is
     left to learn from."""
-    n = labelled.count()
+    # both are as small as the model, and every part of it is made of them: kept, so that training texts are read twice and no more
+    labels = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).persist()
+    n = labels.agg(F.sum("n")).first()[0] or 0
     own = labelled.select("label", "body_part", tokenize(F.col("sentence")).alias("_t"))
-    counts = own.select("label", F.explode(features(F.col("_t"), F.col("body_part"), r)).alias("feature")).groupBy("label", "feature").agg(F.count(F.lit(1)).alias("k"))
+    counts = own.select("label", F.explode(features(F.col("_t"), F.col("body_part"), r)).alias("feature")).groupBy("label", "feature").agg(F.count(F.lit(1)).alias("k")).persist()
     by_feature = counts.groupBy("feature").agg(F.count(F.lit(1)).alias("df"), F.sum("k").alias("total")).where(F.col("total") >= r.min_token_count)
     known = by_feature.select("feature", F.pow(F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1, F.lit(r.idf_power)).alias("idf"))
     v = known.count()
     if not v:
         raise ValueError("no features survived min_token_count")
     weighted = counts.join(known, "feature").withColumn("wc", F.col("k") * F.col("idf"))
-    classes = labelled.select("label").distinct().join(weighted.groupBy("label").agg(F.sum("wc").alias("sum")), "label", "left")
+    classes = labels.select("label").join(weighted.groupBy("label").agg(F.sum("wc").alias("sum")), "label", "left")
     base = F.log(F.coalesce("sum", F.lit(0.0)) + r.alpha * v)
     classes = classes.select("label", base.alias("_base"), (math.log(r.alpha) - base).alias("default"))
     weights = weighted.join(classes, "label").select("label", "feature", (F.log(F.col("wc") + r.alpha) - F.col("_base")).alias("ll"))

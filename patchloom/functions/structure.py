@@ -23,10 +23,12 @@ def split_sections(x: Column) -> Column:
 def parse_fields(block: Column) -> Column:
     """struct(fields, unlabelled): fields in order of first sight; of a repeated label the last content and the first display count."""
     lines = F.filter(F.transform(F.split(F.coalesce(block, F.lit("")), "\n", -1), strip), lambda x: x != "")
+    # each line is taken apart once, before the fold
+    lines = F.transform(lines, lambda x: record(line=x, shown=strip(F.regexp_extract(x, LABEL, 1)), content=F.regexp_extract(x, LABEL, 2)))
+    lines = F.transform(lines, lambda x: record(line=x["line"], shown=x["shown"], content=x["content"], label=canonical(x["shown"])))
 
-    def step(s: Column, line: Column) -> Column:
-        shown = strip(F.regexp_extract(line, LABEL, 1))
-        label, content = canonical(shown), F.regexp_extract(line, LABEL, 2)
+    def step(s: Column, x: Column) -> Column:
+        line, shown, label, content = x["line"], x["shown"], x["label"], x["content"]
         opens = (shown != "") & ~F.upper(shown).isin("FINDINGS", "IMPRESSION")
         known = F.exists(s["fields"], lambda f: f["label"] == label)
         entry = lambda l, d, c: record(label=l, display=d, content=c)

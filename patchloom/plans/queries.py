@@ -103,7 +103,7 @@ f AS (
 
 
 def gold_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = cases(spark, sf_dir).select("case_id", S.gold_patch(F.col("report"), S.fields_of(F.col("template_content"))).alias("p"))
+    own = cases(spark, sf_dir).select("case_id", "report", S.fields_of(F.col("template_content")).alias("t")).select("case_id", S.gold_patch(F.col("report"), F.col("t")).alias("p"))
     return own.select("case_id", F.size("p.fields").cast("bigint").alias("n_fields"), F.array_join(F.transform("p.fields", lambda f: F.concat_ws("=", f["label"], f["content"])), "|").alias("fields"), "p.impression")
 
 

@@ -161,8 +161,9 @@ SELECT * FROM r WHERE rank <= 3
 
 
 def few_shot_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = R.dev_split(cases(spark, sf_dir), 40)
-    asked = B.requests(c.where("dev"), c.where("NOT dev"), Settings(n_shots=3))
+    """The prompt of every case, with examples from all other cases."""
+    c = cases(spark, sf_dir)
+    asked = B.requests(c, c, Settings(n_shots=3), same=True)
     return asked.select("case_id", "sample", F.char_length("prompt").alias("n_chars"), "key")
 
 

@@ -64,9 +64,9 @@ def cached(source: PatchSource, store: DataFrame) -> PatchSource:
     return answer
 
 
-def requests(cases: DataFrame, pool: DataFrame, s: Settings) -> DataFrame:
-    """One row for each case and sample, with its prompt and cache key."""
-    own = cases.join(shots(cases, pool, s.n_shots), "case_id", "left").withColumn("prompt", user_prompt(F.col("shots"))).drop("shots")
+def requests(cases: DataFrame, pool: DataFrame, s: Settings, same: bool = False) -> DataFrame:
+    """One row for each case and sample, with its prompt and cache key. With same, cases are of the pool and aren't their own example."""
+    own = cases.join(shots(cases, pool, s.n_shots, same), "case_id", "left").withColumn("prompt", user_prompt(F.col("shots"))).drop("shots")
     own = own.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(s.n_samples - 1))))
     temperature = F.lit(s.temperature(1))
     for i in reversed(range(min(s.n_samples, 1))):

@@ -1,8 +1,12 @@
 """Scoring, patches, retrieval, router, reports, cache, sources, the batch run and streaming."""
 
+import math
+from collections import Counter, defaultdict
+
 import pytest
 from pyspark.sql import functions as F
 
+from patchloom.functions import text as X
 from patchloom.operators import cache as C
 from patchloom.operators import patch as P
 from patchloom.operators import report as R
@@ -11,6 +15,7 @@ from patchloom.operators import router as N
 from patchloom.operators import score as D
 from patchloom.plans import run as B
 from patchloom.plans.cases import cases
+from patchloom.plans.queries import few_shot_prompt
 from patchloom.sources import tables as T
 
 REF = "FINDINGS:\nLUNGS: Mild right basilar airspace opacity. No pulmonary edema.\nPLEURA: Small right pleural effusion. No pneumothorax.\nOSSEOUS STRUCTURES: No acute osseous abnormality identified on these views.\n\nIMPRESSION:\nMild right basilar airspace opacity and small right pleural effusion."
@@ -138,6 +143,45 @@ def test_prompt(spark, made):
     assert Q.shots(own, pool, 0).first().shots == []
 
 
+def test_every_case_has_its_nearest_examples(spark, sf, made, monkeypatch):
+    """Against brute force over all cases; blocks are so small that bags meet in many."""
+    monkeypatch.setattr(Q, "BLOCK", 64)
+    tokens = {r.case_id: Counter(r.t) for r in made.select("case_id", X.tokenize(Q.retrieval_text()).alias("t")).collect()}
+    df = Counter(t for c in tokens.values() for t in c)
+    raw = {i: {t: (1 + math.log(n)) * (math.log(len(tokens) / (1 + df[t])) + 1) for t, n in c.items()} for i, c in tokens.items()}
+    unit = {i: {t: w / math.sqrt(sum(x * x for x in v.values())) for t, w in v.items()} for i, v in raw.items()}
+    posted = defaultdict(list)
+    for i, v in unit.items():
+        for t, w in v.items():
+            posted[t].append((i, w))
+    expected = {}
+    for i, v in unit.items():
+        score = dict.fromkeys(unit, 0.0)
+        for t, w in v.items():
+            for j, x in posted[t]:
+                score[j] += w * x
+        expected[i] = sorted((j for j in score if j != i), key=lambda j: (-round(score[j], 9), j))[:3]
+    case = {r.case_id: r for r in made.collect()}
+    got = {r.case_id: r.shots for r in Q.shots(made, made, 3, same=True).collect()}
+    assert got.keys() == case.keys()
+    for i, s in got.items():
+        assert [(x["rank"], x.template_content, x.dictation) for x in s] == [(n, case[j].template_content, case[j].dictation) for n, j in enumerate(expected[i], 1)]
+    assert {r.case_id for r in few_shot_prompt(spark, sf).select("case_id").collect()} == case.keys()
+    of, near = Q.nearest(made.select(F.col("case_id").alias("id"), Q.retrieval_text().alias("text")), made.select(F.col("case_id").alias("id"), Q.retrieval_text().alias("text")), 4)
+    by_id = defaultdict(list)
+    for r in of.join(near.withColumnRenamed("id", "other"), "bag").orderBy("rank").collect():
+        by_id[r.id].append(r.other)
+    assert {i: [j for j in x if j != i][:3] for i, x in by_id.items()} == expected
+
+
+def test_nearest_fills_up_as_query_does(spark):
+    docs = spark.createDataFrame([(1, "red fox runs"), (2, "blue fox"), (3, "green tree"), (4, ""), (5, "red fox runs")], "id bigint, text string")
+    asked = spark.createDataFrame([(10, "fox red"), (11, "zzz"), (12, "tree"), (13, "")], "id bigint, text string")
+    of, near = Q.nearest(docs, asked, 3)
+    got = {(r.qid, r["rank"]): (r.id, round(r.score, 6)) for r in of.withColumnRenamed("id", "qid").join(near, "bag").collect()}
+    assert got == {(r.qid, r["rank"]): (r.id, round(r.score, 6)) for r in Q.query(Q.index(docs), asked, 3).collect()}
+
+
 TOY = [("disc bulge at l4", "DISCSDEGENERATIVECHANGES"), ("disc height loss", "DISCSDEGENERATIVECHANGES"), ("marrow signal normal", "VERTEBRAE"), ("vertebral height kept", "VERTEBRAE"), ("technique axial images", "__DROP__"), ("comparison none", "__DROP__")]
 
 

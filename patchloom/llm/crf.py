@@ -16,6 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,11 +26,12 @@ from ._units import gather
 
 @dataclass(frozen=True)
 class Training:
-    """The model is fitted on a bounded sample: at most `documents` labelled texts of at most `characters` characters, taken in the
-    order of a hash of their doc_id, whole. The bound keeps the driver's work the same whatever the input."""
+    """The model is fitted on a bounded sample of `documents` labelled texts: the first of each language, then the second of each, and so on,
+    each language's in the order of a hash of their doc_id. Texts of more than `characters` characters come after the language's
+    others, cut to so many. The bound keeps the driver's work the same whatever the input."""
 
-    documents: int = 600
-    characters: int = 6000
+    documents: int = 1500
+    characters: int = 8000
     bits: int = 17
     grams: tuple[int, ...] = (1, 2, 3, 4)
     sequence: int = 64
@@ -170,8 +172,7 @@ def fit(texts: list[str], langs: list[str], t: Training = Training()) -> Model:
     full = len(of) // t.sequence
     seq = np.append(np.full(full, t.sequence), len(of) - full * t.sequence)
     seq = seq[seq > 0]
-    grams = list(features(s, t))
-    bucket, word = np.concatenate([x for x, _ in grams]), np.concatenate([x for _, x in grams])
+    grams = [(bucket.astype(np.int32), word.astype(np.int32)) for bucket, word in features(s, t)]
     seen = np.bincount(of, minlength=len(s.keys))
     lexicon = np.flatnonzero(seen > 1)
     place = np.full(len(s.keys), -1)
@@ -191,7 +192,7 @@ def fit(texts: list[str], langs: list[str], t: Training = Training()) -> Model:
         error[np.arange(len(of)), gold] -= 1
         by_word = spread(of, error, len(s.keys))
         true = np.bincount(gold[follow - 1] * k + gold[follow], minlength=k * k).reshape(k, k)
-        grads = [spread(bucket, by_word, 1 << t.bits, word), by_word[lexicon], pair - true]
+        grads = [sum(spread(bucket, by_word, 1 << t.bits, word) for bucket, word in grams), by_word[lexicon], pair - true]  # a length at a time
         for x, (m, v), g in zip(params, state, grads, strict=True):
             g = (g / max(len(of), 1) * 100 + t.decay * x).astype(np.float32)
             m += 0.1 * (g - m)
@@ -205,13 +206,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(df: DataFrame, t: Training) -> tuple[list[str], list[str]]:
-    rows = df.where("text IS NOT NULL AND lang IS NOT NULL").where(~F.coalesce(held_out(F.col("doc_id")), F.lit(True))).where(F.char_length("text") <= t.characters)
-    rows = rows.select("text", "lang", F.xxhash64("doc_id").alias("_o"))
+    rows = df.where("text IS NOT NULL AND lang IS NOT NULL").where(~F.coalesce(held_out(F.col("doc_id")), F.lit(True)))
+    rows = rows.select(F.substring("text", 1, t.characters).alias("text"), "lang", (F.char_length("text") > t.characters).alias("_long"), F.xxhash64("doc_id").alias("_o"))
     # the first rows by hash lie under this bound but for a chance of about e**-300; without it every task would send its own first rows
-    share = 2 * t.documents / max(rows.count(), 1)
-    if share < 1:
-        rows = rows.where(F.col("_o") < int(-(2**63) + share * 2**64))
-    got = rows.orderBy("_o", "text", "lang").limit(t.documents).collect()
+    share = rows.groupBy("lang", "_long").agg((F.lit(2.0 * t.documents) / F.count(F.lit(1))).alias("_share"))
+    rows = rows.join(share, ["lang", "_long"]).where(F.col("_o") / F.lit(2.0**64) + 0.5 <= F.col("_share"))
+    rows = rows.withColumn("_r", F.row_number().over(W.partitionBy("lang").orderBy("_long", "_o", "text"))).where(F.col("_r") <= t.documents)
+    got = rows.orderBy("_r", "_o", "text", "lang").limit(t.documents).select("text", "lang").collect()
     return [r.text for r in got], [r.lang for r in got]
 
 

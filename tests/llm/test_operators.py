@@ -55,6 +55,14 @@ def test_language(spark, sf, df, docs):
     assert crf.accepted(df).columns == df.columns
 
 
+def test_rare_languages_and_those_of_long_texts_train(spark):
+    assert (crf.Training().documents, crf.Training().characters) == (1500, 8000)
+    t = crf.Training(documents=40, characters=50)
+    made = [(i, f"the cat number {i}", "en") for i in range(3000)] + [(i, "der hund", "de") for i in range(3000, 3020)] + [(i, "le chat " * 30, "fr") for i in range(3020, 3050)]
+    texts, langs = crf.sample(spark.createDataFrame(made, "doc_id bigint, text string, lang string"), t)
+    assert len(texts) == 40 and {langs.count(x) for x in ("en", "de", "fr")} == {13, 14} and max(map(len, texts)) == 50
+
+
 def test_labels_of_rows_are_no_inputs(spark, sf):
     table = spark.read.parquet(f"{sf}/documents.parquet")
     texts, langs = crf.sample(table, crf.Training())

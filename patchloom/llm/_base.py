@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -19,19 +22,41 @@ BASE = 0xD1342543DE82EF95
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
+def release() -> None:
+    """Gives memory that a Python worker no longer uses back to the machine, so that idle workers don't hold it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only the GNU library has it
+        return
+
+
 class Scratch:
     """Tables written to the folder that the cluster shares (spark.checkpoint.dir), to cut lineage and to be read more than once.
 
-    Only a session without that setting, as in tests, gets a local folder of its own.
+    Only a local session without that setting, as in tests, gets a folder of its own; on a cluster its absence is an error, as a folder of one
+    machine would be lost with it.
     """
 
+    #: All that are open, so that a caller of several operators can close theirs.
+    made: ClassVar[list[Scratch]] = []
+
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             root = f"file://{tempfile.mkdtemp(prefix='patchloom-')}"
             spark.conf.set("spark.checkpoint.dir", root)
         self.root = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        Scratch.made.append(self)
+
+    def close(self) -> None:
+        """Deletes all its tables."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        Scratch.made.remove(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -78,14 +103,18 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with about `limit` bytes of text, whole rows always, so that memory doesn't follow the batch size."""
-    for batch in batches:
-        data, offs = flat(batch.column(column))
-        at, n = 0, batch.num_rows
-        while at < n:
-            to = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, side="right")) - 1)
-            to = min(to, n)
-            yield batch.slice(at, to - at), data[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
-            at = to
+    try:
+        for batch in batches:
+            data, offs = flat(batch.column(column))
+            at, n = 0, batch.num_rows
+            while at < n:
+                to = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, side="right")) - 1)
+                to = min(to, n)
+                yield batch.slice(at, to - at), data[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
+                at = to
+            del data, offs, batch
+    finally:
+        release()
 
 
 _POWERS: dict[int, np.ndarray] = {}

@@ -5,8 +5,8 @@ leaves have too few tokens even when repeated for the allowed number of epochs,
 family can't use goes up to the siblings of their parent. Each leaf then takes its documents in an order seeded anew for each
 epoch: whole epochs, and of the last one the prefix that the budget covers. Only DataFrame operations are used.
 
-Running sums are taken over buckets of the seeded order, whose number follows the number of documents, so that a leaf with a
-third of all rows is never sorted in one task.
+Where a leaf's prefix ends is found digit by digit of the seeded order, so that a leaf with a third of all rows is never sorted in
+one task, and only one row for each leaf meets the documents again.
 """
 
 from __future__ import annotations
@@ -86,36 +86,63 @@ def budgets(leaves: DataFrame, m: Mix) -> DataFrame:
     return low.select("domain", "lang", "source", "have", "given", whole.cast("bigint").alias("epochs")).withColumn("rest", F.col("given") - F.col("epochs") * F.col("have"))
 
 
+#: Hexadecimal digits of the seeded order that a round of `stops` looks at.
+DIGITS = 3
+
+
+def stops(held: DataFrame, plan: DataFrame, scratch: Scratch, m: Mix) -> DataFrame:
+    """plan(domain, lang, source, epochs, rest) with stop_key and stop_n: where, in the leaf's seeded order, the prefix ends that `rest` covers; null
+    where all of the leaf fits.
+
+    The place is found digit by digit: a round adds up tokens by the next DIGITS of the keys and goes on in the one group in which the budget
+    ends, so a window never holds more than 16**DIGITS rows of a leaf. The last of them has about `per_bucket` rows.
+    """
+    leaf = ["domain", "lang", "source"]
+    rounds = max(0, math.ceil(math.log(max(held.count(), 1) / m.per_bucket, 16**DIGITS)))
+    at = plan.select(*leaf, "epochs", "rest", F.lit("").alias("_prefix"), F.lit(0).cast("bigint").alias("_before"))
+    order = W.partitionBy(*leaf)
+    for k in range(rounds + 1):
+        inside = held.join(at, leaf).withColumn("_key", order_key(m)).where(F.substring("_key", 1, DIGITS * k) == F.col("_prefix"))
+        last = k == rounds
+        part = F.struct(F.col("_key").alias("k"), F.col("n_tokens").alias("n")) if last else F.struct(F.substring("_key", 1, DIGITS * (k + 1)).alias("k"), F.lit(0).cast("bigint").alias("n"))
+        sums = inside.groupBy(*leaf, "rest", "_before", part.alias("_part")).agg(F.sum("n_tokens").alias("_n"))
+        sums = sums.withColumn("_end", F.col("_before") + F.sum("_n").over(order.orderBy("_part"))).where("_end > rest")
+        first = sums.groupBy(*leaf).agg(F.min(F.struct("_part", (F.col("_end") - F.col("_n")).alias("_b"))).alias("_f"))
+        if last:
+            found = first.select(*leaf, F.col("_f._part.k").alias("stop_key"), F.col("_f._part.n").alias("stop_n"))
+        else:
+            found = first.select(*leaf, F.col("_f._part.k").alias("_prefix"), F.col("_f._b").alias("_before"))
+            at = scratch.write(plan.select(*leaf, "epochs", "rest").join(found, leaf), f"stops-{k}")
+    return plan.select(*leaf, "epochs").join(found, leaf, "left")
+
+
+def order_key(m: Mix) -> Column:
+    """The place of a document in the order of its leaf's last epoch."""
+    return F.md5(F.concat_ws(":", F.lit(m.seed), "epochs", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+
+
 def mix_sources(df: DataFrame, scratch: Scratch, m: Mix = Mix(), keep: list[str] = []) -> DataFrame:  # noqa: B006
     """doc_id, domain, lang, source, epoch, n_tokens of every chosen copy of a row of df(doc_id, text, lang, source, ..), and the columns of
     df named in keep as a struct `row`.
 
     A null lang or source is the name `unknown`. A document without a word has no tokens; it is chosen with those before it in
-    the order. Rows that are repeated are chosen each. A leaf's prefix ends before the first document that doesn't fit.
+    the order. A leaf's prefix ends before the first document that doesn't fit. Rows of a leaf that share doc_id and number of tokens, repeated
+    ones and those without doc_id among them, are one document in this: all are chosen, or none.
+
+    Budgets are worked out from keys and counts. df is read a second time for the columns in keep, and its texts are neither written nor
+    shuffled where the table of leaves is small enough to be broadcast; that is for the optimizer to check. A very long text is one row.
     """
-    cols = [F.struct(*(df[c] for c in keep)).alias("row")] if keep else []
     name = lambda c: F.coalesce(F.col(c), F.lit("unknown"))
-    held = df.select("doc_id", domain_of(F.col("source")).alias("domain"), name("lang").alias("lang"), name("source").alias("source"), tokens(F.col("text")).alias("n_tokens"), *cols)
-    held = scratch.write(held, "held")
     leaf = ["domain", "lang", "source"]
-    leaves = held.groupBy(*leaf).agg(F.sum("n_tokens").alias("have"))
-    plan = scratch.write(budgets(leaves, m), "plan")
-    digits = max(0, math.ceil(math.log(max(held.count(), 1) / m.per_bucket, 16)))
-    key = F.md5(F.concat_ws(":", F.lit(m.seed), "epochs", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    dealt = held.join(plan.select(*leaf, "epochs", "rest"), leaf).withColumn("_key", key).withColumn("_b", F.substring("_key", 1, digits))
-    sums = dealt.groupBy(*leaf, "_b", "rest", "epochs").agg(F.sum("n_tokens").alias("n"))
-    order = W.partitionBy(*leaf).orderBy("_b")
-    sums = sums.withColumn("_end", F.sum("n").over(order)).withColumn("_before", F.col("_end") - F.col("n")).where("_before <= rest OR epochs > 0")
-    sums = scratch.write(sums.select(*leaf, "_b", "_end", "_before"), "sums")
-    near = dealt.join(sums, [*leaf, "_b"])
-    # only the bucket in which the budget ends needs an order of its rows
-    edge = near.where("_before <= rest AND _end > rest")
-    inside = F.sum("n_tokens").over(W.partitionBy(*leaf, "_b").orderBy("_key", "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, 0))
-    edge = edge.withColumn("_at", F.col("_before") + inside).where("_at <= rest").drop("_at")
-    out = ["doc_id", *leaf, "epoch", "n_tokens", *(["row"] if keep else [])]
-    last = near.where("_end <= rest").unionByName(edge).withColumn("epoch", F.col("epochs")).select(*out)
-    whole = held.join(plan.where("epochs > 0").select(*leaf, "epochs"), leaf).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("epochs") - 1))).select(*out)
-    return whole.unionByName(last)
+    rows = df.select("doc_id", domain_of(F.col("source")).alias("domain"), name("lang").alias("lang"), name("source").alias("source"), tokens(F.col("text")).alias("n_tokens"), *([F.struct(*(df[c] for c in keep)).alias("row")] if keep else []))
+    held = scratch.write(rows.drop("row"), "held")
+    plan = scratch.write(budgets(held.groupBy(*leaf).agg(F.sum("n_tokens").alias("have")), m), "plan")
+    until = scratch.write(stops(held, plan, scratch, m), "until")
+    dealt = (rows if keep else held).join(until, leaf).withColumn("_key", order_key(m))
+    covered = F.col("stop_key").isNull() | (F.col("_key") < F.col("stop_key")) | ((F.col("_key") == F.col("stop_key")) & (F.col("n_tokens") < F.col("stop_n")))
+    dealt = dealt.withColumn("_times", F.col("epochs") + F.when(covered, 1).otherwise(0)).where("_times > 0")
+    dealt = dealt.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_times") - 1)))
+    return dealt.select("doc_id", *leaf, "epoch", "n_tokens", *(["row"] if keep else []))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +166,7 @@ s1 AS (SELECT *, (budget - coalesce(sum(cap) OVER (PARTITION BY domain, lang ORD
 s2 AS (SELECT domain, lang, source, have, CAST(floor(CASE WHEN cap <= lev * w THEN cap ELSE w * arg_min(lev, row(cap / w, source)) FILTER (NOT cap <= lev * w) OVER (PARTITION BY domain, lang) END + 1e-6) AS BIGINT) AS given FROM s1),
 s AS (SELECT *, CASE WHEN have > 0 THEN given // have ELSE 0 END AS epochs, given - CASE WHEN have > 0 THEN given // have ELSE 0 END * have AS rest FROM s2),
 j AS (SELECT h.*, s.epochs, s.rest, md5('11:' || s.epochs || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k FROM h JOIN s USING (domain, lang, source)),
-r AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY k, doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM j)
+r AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY k, n_tokens RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM j)
 SELECT doc_id, domain, lang, source, CAST(epochs AS BIGINT) AS epoch, CAST(n_tokens AS BIGINT) AS n_tokens FROM r WHERE upto <= rest
 UNION ALL SELECT doc_id, domain, lang, source, CAST(e AS BIGINT), CAST(n_tokens AS BIGINT) FROM (SELECT *, unnest(range(0, CAST(epochs AS BIGINT))) AS e FROM j WHERE epochs > 0)
 """

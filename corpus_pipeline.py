@@ -57,7 +57,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    """The last stage's table. What a stage wrote for itself, and what it read, is deleted once its own table is written."""
+    docs, scratch, last = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline"), None
     for name, stage in STAGES:
+        before = len(Scratch.made)
         docs = scratch.write(stage(spark, docs, sf_dir), name)
+        for own in Scratch.made[before:]:
+            own.close()
+        if last:
+            scratch.drop(last)
+        last = name
     return docs

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import BYTE, K1, K2, K3, U64, Scratch, Spans, blocks, mix, table
+from ._base import BYTE, K1, K2, K3, U64, Scratch, Spans, blocks, mix, release, table
 from ._units import gather
 from .runindex import RunIndex
 
@@ -39,12 +39,13 @@ LAST = np.iinfo(np.int64).max
 @dataclass(frozen=True)
 class Match:
     """length: bytes of a match. gram: bytes whose hashes name a window. piece: most windows of a segment. block: bytes of text in
-    a row of the block table."""
+    a row of the block table. part: bytes of text for each hash partition, so that their number follows the data."""
 
     length: int = 50
     gram: int = 24
     piece: int = 64
-    block: int = 4 << 20
+    block: int = 2 << 20
+    part: int = 4 << 20
 
 
 def slide(x: np.ndarray, width: int) -> np.ndarray:
@@ -63,11 +64,15 @@ def windows(offs: np.ndarray, p: Match) -> np.ndarray:
     return np.repeat(offs[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
-def segments(data: np.ndarray, offs: np.ndarray, p: Match) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each segment the first window, the number of windows, the name, and a hash of its whole text."""
+#: A second random value for each byte, for a second hash of a segment.
+OTHER = mix(np.arange(257, 513, dtype=U64) * K2)
+
+
+def segments(data: np.ndarray, offs: np.ndarray, p: Match) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each segment the first window, the number of windows, the name, and two hashes of its whole text."""
     at = windows(offs, p)
     if not len(at):
-        return at, at, np.zeros(0, U64), np.zeros(0, U64)
+        return at, at, np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, U64)
     spans = Spans(BYTE[data])
     grams = (spans.sums[p.gram :] - spans.sums[: -p.gram]) * spans.back[: len(data) - p.gram + 1]
     least = slide(grams, p.length - p.gram + 1)[at]
@@ -78,7 +83,10 @@ def segments(data: np.ndarray, offs: np.ndarray, p: Match) -> tuple[np.ndarray,
     begin = np.repeat(begin, parts) + order * p.piece
     count = np.minimum(np.repeat(size, parts) - order * p.piece, p.piece)
     start = at[begin]
-    return start, count, mix(least[begin] + K3), spans(start, start + count + p.length - 1)
+    end = start + count + p.length - 1
+    name, whole = mix(least[begin] + K3), spans(start, end)
+    del spans, grams, least, at
+    return start, count, name, whole, Spans(OTHER[data])(start, end)
 
 
 def low(values: np.ndarray, n: int) -> bytes:
@@ -96,11 +104,16 @@ def pair(name: np.ndarray, whole: np.ndarray) -> np.ndarray:
     return mix(name * K1 ^ mix(whole + K2))
 
 
-def least_in_group(key: np.ndarray, value: np.ndarray, most: bool = False) -> tuple[np.ndarray, ...]:
-    """For each element the least value (and the largest, if asked for) among those with its key."""
+def least_in_group(key: np.ndarray, value: np.ndarray, exact: tuple[np.ndarray, ...] = (), most: bool = False) -> tuple[np.ndarray, ...]:
+    """For each element the least value (and the largest, if asked for) among those with its key, and with its values in `exact`."""
     order = np.argsort(key)
-    ordered = key[order]
-    lead = np.append(True, ordered[1:] != ordered[:-1])
+    lead = np.append(True, key[order[1:]] != key[order[:-1]])
+    differ = np.zeros(max(len(key) - 1, 0), bool)
+    for x in exact:
+        differ |= x[order[1:]] != x[order[:-1]]
+    if (differ & ~lead[1:]).any():  # two groups share a key: they are told apart by all that is known of them
+        order = np.lexsort((*exact, key))
+        lead = np.append(True, np.any([x[order[1:]] != x[order[:-1]] for x in (key, *exact)], axis=0))
     first, of = np.flatnonzero(lead), np.empty(len(key), np.int64)
     of[order] = np.cumsum(lead) - 1
     out = (np.minimum.reduceat(value[order], first)[of],)
@@ -114,18 +127,18 @@ def ids_of(docs: list[int | None]) -> np.ndarray:
 BLOCKS = "block bigint, docs array<bigint>, sizes array<bigint>, data binary, counts binary, again binary, parts binary"
 
 
-def write_blocks(df: DataFrame, p: Match, n_parts: int, buckets: int, scratch: Scratch) -> str:
+def write_blocks(df: DataFrame, p: Match, n_parts: int, buckets: int, scratch: Scratch) -> DataFrame:
     """The block table: texts, and of each segment its windows, whether the block has it in a smaller document, and, if not, its partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, seq = TaskContext.get().partitionId() << 32, 0
         for rows, data, offs in blocks(batches, "text", p.block):
             docs = rows.column("doc_id").to_pylist()
-            start, count, name, whole = segments(data, offs, p)
+            start, count, name, whole, other = segments(data, offs, p)
             again, part = np.zeros(len(start), bool), np.zeros(len(start), np.uint32)
             if len(start):
                 doc = ids_of(docs)[np.searchsorted(offs, start, side="right") - 1]
-                again = least_in_group(pair(name, whole), doc)[0] < doc
+                again = least_in_group(pair(name, whole), doc, (name, whole, other))[0] < doc
                 part = part_of(name, n_parts)[~again]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x], t) for x, t in ((base + seq, pa.int64()), (docs, pa.list_(pa.int64())), (np.diff(offs).tolist(), pa.list_(pa.int64())), (data.tobytes(), pa.binary()), (count.astype(np.uint8).tobytes(), pa.binary()), (np.packbits(again).tobytes(), pa.binary()), (part.astype("<u4").tobytes(), pa.binary()))],
@@ -136,7 +149,9 @@ def write_blocks(df: DataFrame, p: Match, n_parts: int, buckets: int, scratch: S
     name = f"patchloom_blocks_{uuid.uuid4().hex}"
     made = df.select("doc_id", "text").mapInArrow(run, BLOCKS)
     made.write.bucketBy(buckets, "block").option("path", scratch.path("blocks")).option("compression", "zstd").saveAsTable(name)
-    return name
+    out = df.sparkSession.table(name)
+    df.sparkSession.sql(f"DROP TABLE {name}")  # the files stay, and the plan knows their buckets
+    return out
 
 
 def part_of(name: np.ndarray, n: int) -> np.ndarray:
@@ -169,49 +184,57 @@ class Block:
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield batch.slice(i, 1).to_pylist()[0]
+    try:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield batch.slice(i, 1).to_pylist()[0]
+    finally:
+        release()
 
 
 def announce(blocks_: DataFrame, p: Match) -> DataFrame:
-    """part, block, docs, names: the packed names of a block's segments, for each partition."""
+    """part, block, docs, names, wholes, others: of a block's segments the doc_ids, 40 bits of the names, and 64 and 24 bits of two hashes of their
+    texts, packed for each partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             b = Block(row, p)
             if not len(b.own):
                 continue
-            _, _, name, whole = segments(b.data, b.offs, p)
+            _, _, name, whole, other = segments(b.data, b.offs, p)
             at = b.own[b.by_part]
-            doc = np.searchsorted(b.offs, b.start[at], side="right") - 1
+            doc = b.doc(at)
             part = b.part[b.by_part]
             edge = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
-            docs = zlib.compress(np.diff(ids_of(b.docs), prepend=0).tobytes(), 1)
             out = []
             for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 own = at[i:j]
-                out.append({"part": int(part[i]), "block": b.id, "docs": docs, "rows": zlib.compress(np.diff(doc[i:j], prepend=0).astype("<i4").tobytes(), 1), "names": low(name[own], 5), "wholes": low(whole[own], 6)})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("part", pa.int64()), ("block", pa.int64()), *((x, pa.binary()) for x in ("docs", "rows", "names", "wholes"))]))
+                docs = zlib.compress(np.diff(doc[i:j], prepend=0).tobytes(), 1)
+                out.append({"part": int(part[i]), "block": b.id, "docs": docs, "names": low(name[own], 5), "wholes": low(whole[own], 8), "others": low(other[own], 3)})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("part", pa.int64()), ("block", pa.int64()), *((x, pa.binary()) for x in ("docs", "names", "wholes", "others"))]))
 
-    return blocks_.mapInArrow(run, "part bigint, block bigint, docs binary, rows binary, names binary, wholes binary")
+    return blocks_.mapInArrow(run, "part bigint, block bigint, docs binary, names binary, wholes binary, others binary")
 
 
 def decide(t: pa.Table) -> pa.Table:
     """codes of the segments of one partition: 1 if the same segment is in a smaller document; else 2 if its name is in a smaller one, 3 if it is
-    in larger ones only, 0 if it is in no other. A name is known by 5 bytes here, beside the partition: one more that seems to repeat is only looked at."""
-    names, wholes, docs, sizes = [], [], [], []
-    for d, r, n, w in zip(*(t.column(x).to_pylist() for x in ("docs", "rows", "names", "wholes")), strict=True):
+    in larger ones only, 0 if it is in no other. A name is known by 5 bytes here, beside the partition: one more that seems to repeat is only looked at.
+    Segments are the same if all 128 bits that came are equal."""
+    names, wholes, others, docs = [], [], [], []
+    for d, n, w, o in zip(*(t.column(x).to_pylist() for x in ("docs", "names", "wholes", "others")), strict=True):
         names.append(high(n, 5))
-        wholes.append(high(w, 6))
-        docs.append(np.cumsum(np.frombuffer(zlib.decompress(d), np.int64))[np.cumsum(np.frombuffer(zlib.decompress(r), "<i4"))])
-        sizes.append(len(docs[-1]))
-    name, whole, doc = np.concatenate(names), np.concatenate(wholes), np.concatenate(docs)
+        wholes.append(high(w, 8))
+        others.append(high(o, 3))
+        docs.append(np.cumsum(np.frombuffer(zlib.decompress(d), np.int64)))
+    edge = np.append(0, np.cumsum([len(x) for x in docs])).tolist()
+    name, whole, other, doc = (np.concatenate(x) for x in (names, wholes, others, docs))
+    del names, wholes, others, docs
     first, last = least_in_group(name, doc, most=True)
-    same = least_in_group(pair(name, whole), doc)[0]
+    same = least_in_group(pair(name, whole), doc, (name, whole, other))[0]
     code = np.where(same < doc, 1, np.where(first < last, np.where(first < doc, 2, 3), 0)).astype(np.uint8)
-    edge = np.append(0, np.cumsum(sizes)).tolist()
-    return pa.table({"part": t.column("part"), "block": t.column("block"), "codes": pa.array([code[i:j].tobytes() for i, j in zip(edge, edge[1:], strict=False)], pa.binary())})
+    out = pa.table({"part": t.column("part"), "block": t.column("block"), "codes": pa.array([code[i:j].tobytes() for i, j in zip(edge, edge[1:], strict=False)], pa.binary())})
+    release()
+    return out
 
 
 def send(blocks_: DataFrame, p: Match) -> DataFrame:
@@ -265,6 +288,7 @@ def match(p: Match):
             if own.any():
                 out_block.append(name)
                 found.append(np.stack([at[seg[own]], first[own], many[own]], 1).astype("<u4").tobytes())
+        release()
         return pa.table({"block": pa.array(out_block, pa.int64()), "found": pa.array(found, pa.binary())})
 
     return run
@@ -305,13 +329,12 @@ def remove_repeats(df: DataFrame, scratch: Scratch, p: Match = Match()) -> DataF
     """One row for each row of df(doc_id, text, ..): doc_id, n_bytes, starts and ends of the removed runs, kept (the bytes that remain).
 
     A null text is the empty one. Rows that share a doc_id remove nothing from each other. A row without doc_id comes after all
-    others, and such rows remove nothing from each other. Other columns are ignored. The number of hash partitions follows
-    spark.sql.shuffle.partitions, which is sized with the input.
+    others, and such rows remove nothing from each other. Other columns are ignored. A very long text is a block of its own, in one worker.
+    The number of hash partitions follows the bytes of all texts.
     """
-    spark = df.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = write_blocks(df, p, 2 * buckets, buckets, scratch)
-    texts = spark.table(name)
+    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    texts = write_blocks(df, p, max(buckets, -(-total // p.part)), buckets, scratch)
     decided = announce(texts, p).groupBy("part").applyInArrow(decide, "part bigint, block bigint, codes binary")
     decided = scratch.write(decided.groupBy("block").agg(F.collect_list(F.struct("part", "codes")).alias("decided")), "decided")
     sent = send(texts.join(decided.hint("shuffle_hash"), "block"), p)

@@ -86,8 +86,9 @@ class RunIndex:
         same = (ranks[order[1:]] == ranks[order[:-1]]) & (ranks[step[1:]] == ranks[step[:-1]])
         lead = np.flatnonzero(np.append(True, ~same))
         holder = np.repeat(owner, sizes + 1)
-        # tables from row to run and to the least owner; an index is one partition's, so they are small, and a look-up is one read
-        self.least = np.repeat(np.minimum.reduceat(holder[order], lead), np.diff(np.append(lead, n)))
+        # the least owner by groups of such rows; it is only looked up where a match is long enough
+        self.lead, self.least = lead, np.minimum.reduceat(holder[order], lead)
+        # from row to run by a table; an index is one partition's, so it is small, and a look-up is one read
         self.run = np.repeat(np.arange(len(long), dtype=np.int32), long)
         self.shift = (self.to - self.starts).astype(np.int32)
 
@@ -156,4 +157,4 @@ class RunIndex:
 
     def least_owner(self, row: np.ndarray) -> np.ndarray:
         """The least owner of the strings that hold the `length` symbols with which the suffix of a row begins."""
-        return self.least[row]
+        return self.least[np.searchsorted(self.lead, row, side="right") - 1]

@@ -206,33 +206,83 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(df: DataFrame, t: Training) -> tuple[list[str], list[str]]:
+    """The training texts and their labels. Counts by language tell how many rows of each are needed; a hash threshold made from them leaves
+    about twice as many, so that neither texts nor keys of the others are shuffled."""
     rows = df.where("text IS NOT NULL AND lang IS NOT NULL").where(~F.coalesce(held_out(F.col("doc_id")), F.lit(True)))
-    rows = rows.select(F.substring("text", 1, t.characters).alias("text"), "lang", (F.char_length("text") > t.characters).alias("_long"), F.xxhash64("doc_id").alias("_o"))
-    # the first rows by hash lie under this bound but for a chance of about e**-300; without it every task would send its own first rows
-    share = rows.groupBy("lang", "_long").agg((F.lit(2.0 * t.documents) / F.count(F.lit(1))).alias("_share"))
-    rows = rows.join(share, ["lang", "_long"]).where(F.col("_o") / F.lit(2.0**64) + 0.5 <= F.col("_share"))
+    rows = rows.select("lang", (F.char_length("text") > t.characters).alias("_long"), F.xxhash64("doc_id").alias("_o"), "text")
+    counts = rows.groupBy("lang").agg(F.count_if(~F.col("_long")).alias("short"), F.count_if("_long").alias("long"), F.min(F.struct("_long", "_o", "text")).getField("_o").alias("_o"))
+    # no language beyond these can have its first row in the sample, so this table has a bound
+    held = counts.orderBy("_o", "lang").limit(t.documents).select("lang", "short", "long").collect()
+    need = next((r for r in range(1, t.documents + 1) if sum(min(x.short + x.long, r) for x in held) >= t.documents), t.documents)
+    # so many are expected that fewer than needed have a chance below e**-60
+    share = lambda n, count: min(1.0, (2.0 * n + 60) / count) if n > 0 and count else 0.0
+    limits = [(x.lang, share(need, x.short), share(need - x.short, x.long)) for x in held]
+    limits = F.broadcast(df.sparkSession.createDataFrame(limits, "lang string, _short_share double, _long_share double"))
+    rows = rows.join(limits, "lang").where(F.col("_o") / F.lit(2.0**64) + 0.5 <= F.when(F.col("_long"), F.col("_long_share")).otherwise(F.col("_short_share")))
+    rows = rows.select("lang", "_long", "_o", F.substring("text", 1, t.characters).alias("text"))
     rows = rows.withColumn("_r", F.row_number().over(W.partitionBy("lang").orderBy("_long", "_o", "text"))).where(F.col("_r") <= t.documents)
     got = rows.orderBy("_r", "_o", "text", "lang").limit(t.documents).select("text", "lang").collect()
     return [r.text for r in got], [r.lang for r in got]
 
 
+def judged(m: Model, s: Split, words: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Posterior label probabilities of the words of a block; `some` are the rows that have words, and `words` the numbers of all rows."""
+    return posteriors(m.emissions(s)[s.of], words[some], m.moves)[0]
+
+
+def label_words(df: DataFrame, t: Training = Training(), model: Model | None = None) -> DataFrame:
+    """doc_id, words: for each row of df(doc_id, text, ..) an array of (word, label, posterior) in the text's order, for text that switches
+    between languages. A word is a run of letters, in lower case; its label is the one with the largest posterior probability from
+    forward-backward over the whole text, the first of equal ones.
+
+    A null text, or one without a letter, has no words. A very long text is one block, in memory that follows its length. Without any
+    labelled row no word has a label: arrays are empty.
+    """
+    model = model or trained(df, t)
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for rows, data, offs in blocks(batches, "text"):
+            n = len(offs) - 1
+            if not m.labels:
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([[]] * n, kind)], names=["doc_id", "words"])
+                continue
+            s = split(data, offs)
+            words = np.bincount(s.row, minlength=n)
+            some = np.flatnonzero(words)
+            p = judged(m, s, words, some) if len(some) else np.zeros((0, len(m.labels)))
+            inner = np.ones(len(s.flat), bool)
+            inner[s.edge[:-1]] = inner[s.edge[1:] - 1] = False
+            text, edge = s.flat[inner].astype("<u4").tobytes().decode("utf-32-le"), (s.edge - 2 * np.arange(len(s.edge))).tolist()
+            distinct = [text[a:b] for a, b in zip(edge, edge[1:], strict=False)]
+            cells = pa.StructArray.from_arrays([pa.array([distinct[i] for i in s.of.tolist()], pa.string()), pa.array([m.labels[i] for i in p.argmax(axis=1).tolist()], pa.string()), pa.array(p.max(axis=1).astype(np.float64) if len(p) else [], pa.float64())], names=["word", "label", "posterior"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(words)).astype(np.int32)), cells)], names=["doc_id", "words"])
+
+    kind = pa.list_(pa.struct([("word", pa.string()), ("label", pa.string()), ("posterior", pa.float64())]))
+    return df.select("doc_id", "text").mapInArrow(run, "doc_id bigint, words array<struct<word:string,label:string,posterior:double>>")
+
+
+def trained(df: DataFrame, t: Training) -> Model:
+    texts, langs = sample(df, t)
+    return fit(texts, langs, t) if langs else Model([], np.zeros((0, 0)), np.zeros(0, U64), np.zeros((0, 0)), np.zeros((0, 0)), t)
+
+
 def identify(df: DataFrame, t: Training = Training(), model: Model | None = None, passed: bool = False) -> DataFrame:
     """doc_id, held_out, lang_pred, score, n_words of each row of df(doc_id, text, lang, ..); if passed, all columns of df with
     __patchloom_lang and __patchloom_score instead.
 
     Only texts and labels of rows that aren't held out train the model. A text that is null or has no letter is `und` with score
     0, as every text is where no labelled row exists. Held-out is false for a null doc_id, which trains nothing. Ties go to the
-    label that sorts first. Repeated rows stay repeated, other columns are ignored.
+    label that sorts first. Repeated rows stay repeated, other columns are ignored. A very long text is one block, labelled whole.
     """
-    if model is None:
-        texts, langs = sample(df, t)
-        model = fit(texts, langs, t) if langs else Model([], np.zeros((0, 0)), np.zeros(0, U64), np.zeros((0, 0)), np.zeros((0, 0)), t)
+    model = model or trained(df, t)
     # 2**bits weights for each label and a lexicon of the bounded sample: a few MB whatever the input
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for rows, data, offs in blocks(batches, "text", 3 << 20):
+        for rows, data, offs in blocks(batches, "text"):
             n, k = len(offs) - 1, len(m.labels)
             best, score, words = np.full(n, -1), np.zeros(n), np.zeros(n, np.int64)
             if k:
@@ -240,7 +290,7 @@ def identify(df: DataFrame, t: Training = Training(), model: Model | None = None
                 words = np.bincount(s.row, minlength=n)
                 some = np.flatnonzero(words)
                 if len(some):
-                    p, _ = posteriors(m.emissions(s)[s.of], words[some], m.moves)
+                    p = judged(m, s, words, some)
                     starts = np.cumsum(words[some]) - words[some]
                     mean = np.add.reduceat(p.astype(np.float64), starts, axis=0) / words[some][:, None]
                     best[some] = mean.argmax(axis=1)

@@ -46,7 +46,7 @@ class UnitEncoder:
 
     def block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, flat, and how many each text has."""
-        if len(self.known) > self.most:
+        if len(self.known) > self.most or self.used > 1 << 22:
             self.clear()
         units: list[str] = []
         sizes = np.zeros(len(texts), np.int64)

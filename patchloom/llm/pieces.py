@@ -5,10 +5,14 @@ round finds the best pair of every unit (segmented minimum of the pair ranks), m
 once, and compacts the array, until no unit has a pair left. The ids equal those of the sentencepiece library, which is only
 used to read the model file. Where a merged piece could be part of a better pair, or several pieces share a score, a round
 merges only the leftmost occurrence, as the one-at-a-time algorithm would.
+
+A round passes over all that is left of a unit, so a unit without a space of thousands of characters would cost their square. Units of more
+than LONG characters are merged one pair at a time from a heap instead, in the same order.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -25,6 +29,7 @@ from ._units import UnitEncoder, gather
 SPACE = "▁"
 NONE = np.iinfo(np.int32).max
 CODES = 0x110000
+LONG = 2048
 
 
 class Model:
@@ -89,6 +94,7 @@ class Model:
         out = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in used)
         inner = any(SPACE in x.lstrip(SPACE) for x in own)
         self.cut = None if inner else re.compile(f"[{out}]|{SPACE}+[^{SPACE}{out}]*|[^{SPACE}{out}]+" if out else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+        self.merges: dict[int, tuple[int, int]] = {}
         self.units = UnitEncoder(self.split, self.encode_units)
 
     def split(self, text: str) -> list[str]:
@@ -107,10 +113,18 @@ class Model:
         codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
         lengths = np.fromiter(map(len, units), np.int64, len(units))
         unit, symbol = np.repeat(np.arange(len(units), dtype=np.int32), lengths), self.symbol[codes]
-        rank, into = np.full(len(symbol), NONE, np.int32), np.zeros(len(symbol), np.int32)
-        rank[:-1], into[:-1] = self.pairs(symbol[:-1], symbol[1:])
-        rank[:-1][unit[:-1] != unit[1:]] = NONE
         done: list[tuple[np.ndarray, np.ndarray]] = []
+        if len(long := np.flatnonzero(lengths > LONG)):
+            edge = np.append(0, np.cumsum(lengths))
+            for i in long.tolist():
+                own = self.merge_long(symbol[edge[i] : edge[i + 1]])
+                done.append((np.full(len(own), i, np.int32), own))
+            short = np.repeat(lengths <= LONG, lengths)
+            unit, symbol = unit[short], symbol[short]
+        rank, into = np.full(len(symbol), NONE, np.int32), np.zeros(len(symbol), np.int32)
+        if len(symbol):
+            rank[:-1], into[:-1] = self.pairs(symbol[:-1], symbol[1:])
+            rank[:-1][unit[:-1] != unit[1:]] = NONE
         while len(symbol):
             starts = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
             sizes = np.diff(np.append(starts, len(symbol)))
@@ -149,6 +163,34 @@ class Model:
             symbol[gather(np.arange(len(symbol)), to[odd], times[odd])] = self.byte[np.frombuffer(b"".join(raw), np.uint8)]
         return symbol, np.bincount(unit, minlength=len(units)).astype(np.int64)
 
+    def merge_long(self, symbol: np.ndarray) -> np.ndarray:
+        """The symbols that are left of one long unit: pairs wait in a heap by rank, then place; a pair that is no longer there is passed over."""
+        if not self.merges:
+            self.merges = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.into.tolist(), strict=True), strict=True))
+        merges, wide, n = self.merges, self.size + CODES, len(symbol)
+        rank, into = self.pairs(symbol[:-1], symbol[1:])
+        now, symbols = [*rank.tolist(), NONE], symbol.tolist()  # the rank of the pair that begins at each place
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [r * n + i for i, r in enumerate(now) if r != NONE]
+        heapq.heapify(heap)
+        while heap:
+            r, i = divmod(heapq.heappop(heap), n)
+            if now[i] != r:
+                continue
+            j = after[i]
+            symbols[i] = merges[symbols[i] * wide + symbols[j]][1]
+            now[j], symbols[j] = NONE, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+            for x, y in ((before[i], i), (i, k)):
+                if x >= 0:
+                    found = merges.get(symbols[x] * wide + symbols[y]) if y < n else None
+                    now[x] = found[0] if found else NONE
+                    if found:
+                        heapq.heappush(heap, found[0] * n + x)
+        return np.array([x for x in symbols if x >= 0], np.int32)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids with begin and end, flat, and the offsets of the texts."""
         ids, sizes = self.units.block(texts)
@@ -190,12 +232,12 @@ def encode_decode(df: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit integers), decoded of each row of df(doc_id, text, ..).
 
     A null text is the empty one, whose ids are begin and end. Repeated rows stay repeated, a null doc_id stays null, other
-    columns are ignored. `path` is a model file at the same place on every executor.
+    columns are ignored. A very long text is one block, whose memory follows its length; its time does too, with or without spaces. `path` is a model file at the same place on every executor.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for rows, _, _ in blocks(batches, "text", 2 << 20):
+        for rows, _, _ in blocks(batches, "text"):
             ids, offs = m.encode([x or "" for x in rows.column("text").to_pylist()])
             raw = pa.Array.from_buffers(pa.large_binary(), len(offs) - 1, [None, pa.py_buffer(offs * 4), pa.py_buffer(ids.astype("<u4"))]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), raw, pa.array(m.decode(ids, offs), pa.string())], names=["doc_id", "ids", "decoded"])

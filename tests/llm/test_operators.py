@@ -193,6 +193,7 @@ def test_tool_calls(spark):
     assert (by["a"].valid, by["a"].n_results) == (True, 2)
     assert by["a"].json == '{"arguments":{"text":"x","turn":1,"words":2},"call_id":"a","name":"reply","result":{"content":"soon"}}'
     assert by["b"].errors == "least text,kind of turn"
+    assert by["d"].json == '{"arguments":"[1","call_id":"d","name":"reply"}'
     assert [by[x].errors for x in ("c", "d", "f", "lost")] == ["unknown tool", "not an object", "kind of text", "no call"]
     assert by[None].level is None and by[None].valid
 
@@ -202,6 +203,55 @@ def test_long_chains_take_few_rounds(spark):
     assert {r.call_id: r.level for r in toolcalls.levels(calls, Scratch(spark, "t")).collect()} == {str(i): i for i in range(300)}
 
 
+def test_calls_after_several(spark):
+    """Longest paths in graphs with joints, cycles and calls behind them, against a plain recursion."""
+    rng, after = random.Random(4), {}
+    for k in range(120):
+        after[f"c{k}"] = [f"c{rng.randrange(k)}" for _ in range(rng.choice([0, 1, 1, 1, 2, 3]))] if k else []
+    after |= {"x": ["y", "c3"], "y": ["x"], "z": ["x", "c5"], "w": ["nowhere", "c7"], "v": []}
+    from functools import cache
+
+    @cache
+    def depth(c, seen=()):
+        own = [p for p in after[c] if p in after]
+        if c in seen:
+            return None
+        each = [depth(p, (*seen, c)) for p in own]
+        return None if None in each else 1 + max(each, default=-1)
+
+    calls = spark.createDataFrame([(c, a) for c, a in after.items()] + [("c9", after["c9"])], "call_id string, after array<string>")
+    got = {r.call_id: r.level for r in toolcalls.levels(calls, Scratch(spark, "t")).collect()}
+    assert got == {c: depth(c) for c in after} and got["z"] is None and got["w"] == got["c7"] + 1
+
+
+def test_arguments(spark):
+    tools = {"t": (toolcalls.Param("n", "integer"), toolcalls.Param("unit", "string", False, choices=("m", "km")), toolcalls.Param("where", "object", False, inside=(toolcalls.Param("city", "string"), toolcalls.Param("zip", "integer", False, least=1))))}
+    cases = [('{"n":3.0}', ""), ('{"n":3.5}', "kind of n"), ('{"n":1,"n":2}', "repeated key"), ('{"n":1,"unit":"cm"}', "choice of unit"), ('{"n":1,"where":{"zip":0}}', "missing where.city,least where.zip"), ('{"n":1,"where":{"city":"x"},"more":1}', "unknown more"), ("7", "not an object"), (None, "not an object"), ('{"n":1e2}', "")]
+    rows = [(1, k, str(k), None, "t", a, "clash") for k, (a, _) in enumerate(cases)]
+    calls = spark.createDataFrame(rows, "conv_id bigint, turn bigint, call_id string, after string, name string, arguments string, errors string").selectExpr("*", "'x' AS level", "'y' AS json", "'z' AS _id")
+    results = spark.createDataFrame([(1, 0, "2", "é\n\"", 1)], "conv_id bigint, turn bigint, call_id string, content string, name int")
+    got = {r.call_id: r for r in toolcalls.link(calls, results, Scratch(spark, "t"), tools, closed=True).collect()}
+    assert [got[str(k)].errors for k in range(len(cases))] == [e for _, e in cases]
+    assert got["0"].json == '{"arguments":{"n":3},"call_id":"0","name":"t"}'
+    assert got["2"].json == '{"arguments":"{\\"n\\":1,\\"n\\":2}","call_id":"2","name":"t","result":{"content":"é\\n\\""}}'
+
+
+def test_long_contents_are_copied(spark):
+    calls = spark.createDataFrame([(1, 0, "a", None, "configure", '{"text":"x"}')], "conv_id bigint, turn bigint, call_id string, after string, name string, arguments string")
+    results = spark.range(1).selectExpr("1L AS conv_id", "1L AS turn", "'a' AS call_id", "repeat('0123456789', 4000000) AS content")
+    row = toolcalls.link(calls, results, Scratch(spark, "t")).selectExpr("valid", "length(json) AS n").first()
+    assert row.valid and row.n > 40_000_000
+
+
+def test_long_units():
+    """Texts of a megabyte without a space, and units on both sides of LONG, equal the library's."""
+    m, rng = pieces.Model(P.path("piece_bpe_32k.model")), random.Random(3)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (2040, 2047, 2048, 2049, 5000, 300_000)]
+    texts += ["a" * 30_000, "the" * 5000, "ab" * 4000 + " x " + "漢ゼ😀" * 1500, "".join(rng.choice("ab") for _ in range(9000)), "=" * 1_000_000]
+    ids, offs = m.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(offs[:-1], offs[1:], strict=True)] == m.library.encode(texts, add_bos=True, add_eos=True)
+
+
 def test_pieces(df, docs):
     path = P.path("piece_bpe_32k.model")
     library = pieces.model(path).library
@@ -237,6 +287,44 @@ def test_token_files(spark, df, docs):
     assert files.count() > 3
     got = [(r.doc_id, r.start, r.n_tokens, __import__("zlib").crc32(bytes(r.ids))) for r in grammar.read_files(files).collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, brute.token_files(docs, lambda t: library.encode(t, add_special_tokens=False).ids)))
+    asked = [i for i, *_ in docs if i is not None][::3]
+    some = [(r.doc_id, bytes(r.ids)) for r in grammar.read_some(files, asked).collect()]
+    assert sorted(map(repr, some)) == sorted(repr((r.doc_id, bytes(r.ids))) for r in grammar.read_files(files).collect() if r.doc_id in set(asked))
+
+
+def test_token_files_of_one_doc_id(spark):
+    """Rows without doc_id are dealt out by their texts, in one order."""
+    docs = [(None, f"{k % 40:02d} {'x y z ' * (k % 7)}") for k in range(400)] + [(5, None), (5, ""), (5, "b"), (5, "a")]
+    path = P.path("word_bpe_49k.json")
+    library = grammar.tokenizer(path).library
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    files = grammar.write_files(spark.createDataFrame(docs, "doc_id bigint, text string"), path, 2, Scratch(spark, "t"), shard_ids=90, block=200)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert files.select("part").distinct().count() > 3
+    got = [(r.doc_id, r.start, r.n_tokens, __import__("zlib").crc32(bytes(r.ids))) for r in grammar.read_files(files).collect()]
+    want, at = [], 0
+    for i, text in sorted(docs, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or "")):
+        ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        want.append((i, at, len(ids), __import__("zlib").crc32(ids.tobytes())))
+        at += len(ids)
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_words_that_share_a_hash():
+    t, plain = grammar.Words(P.path("word_bpe_49k.json"), bits=5), grammar.Words(P.path("word_bpe_49k.json"))
+    for texts in (["one two"], ["three"], ["four five one", None, "é x"], ["a b c d e f g h i j k l m n o p q r s t u v w x y z " * 3]):
+        for a, b in zip(t.block(*flat(pa.array(texts))), plain.block(*flat(pa.array(texts))), strict=True):
+            assert (a == b).all()
+
+
+def test_files_are_smaller_than_their_ids(spark, sf):
+    """Re-Pair goes on to pairs found four times; the files, with their tables, are well below 16 bits an id, and below what fewer rules give."""
+    t = grammar.Words(P.path("word_bpe_49k.json"))
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    ids, n = t.block(*flat(pa.array(texts)))
+    size = lambda least: len(grammar.pack(list(range(len(n))), n, ids, t.size, least)) / (2 * len(ids))
+    assert size(grammar.LEAST) < 0.75 and size(grammar.LEAST) < 0.9 * size(256)
+    assert len(grammar.pack([1], np.array([1000]), np.full(1000, 7), 10)) < 200
 
 
 @pytest.mark.parametrize("letters", ["abtheX ing  \n'sÉé́ß漢ゼ😀\x00\t.,<>0Ａİ\xa0\x1c×÷½", "abtheX ing  <|>"])
@@ -257,8 +345,8 @@ def test_grammar_round_trip():
         for _ in range(20):
             a, b = sorted(rng.integers(0, len(ids) + 1, 2).tolist())
             assert (f.span(a, b) == ids[a:b]).all()
-    seq, rules = grammar.compress(np.tile([1, 2], 500), 10, 2)
-    assert len(seq) < 100 and len(rules)
+    seq, rules, long = grammar.compress(np.tile([1, 2], 500), 10, 2)
+    assert len(seq) < 100 and len(rules) == len(long)
 
 
 def test_long_matches(spark, df, docs):
@@ -302,3 +390,19 @@ def test_empty_tables(spark):
     assert quality.judge(none).count() == 0
     assert grammar.read_files(grammar.write_files(none, P.path("word_bpe_49k.json"), 2, Scratch(spark, "t"))).count() == 0
     assert longmatch.remove_repeats(none, Scratch(spark, "t")).count() == 0
+
+
+def test_words_of_switching_texts(spark, sf):
+    """The label changes where the language does, and words of a text without a switch keep the text's label."""
+    table = spark.read.parquet(f"{sf}/documents.parquet").where("text IS NOT NULL AND lang IS NOT NULL")
+    model = crf.trained(table, crf.Training())
+    # held-out texts of two languages, one behind the other
+    held = table.where(crf.held_out(table["doc_id"])).where("length(text) > 300").orderBy("doc_id").collect()
+    one, two = (next(r for r in held if r.lang == x) for x in ("en", "fr"))
+    a, b = (" ".join(r.text.split()[:40]) for r in (one, two))
+    df = spark.createDataFrame([(1, f"{a} {b}"), (2, None), (3, "12 + 3"), (4, a)], "doc_id bigint, text string")
+    got = {r.doc_id: r.words for r in crf.label_words(df, model=model).collect()}
+    assert got[2] == got[3] == []
+    first, labels = len(got[4]), [w.label for w in got[1]]
+    assert [w.word for w in got[1]][:first] == [w.word for w in got[4]] and all(0 < w.posterior <= 1 for w in got[1])
+    assert labels[:first].count("en") >= 0.9 * first and labels[first:].count("fr") >= 0.9 * (len(labels) - first)

@@ -1,7 +1,7 @@
 """The registered queries of the template-edit operators, over the tables and over the generated cases, and their SQL.
 
 The SQL is DuckDB's, whose regular expressions have no look-around: rules that look around are written as replacements of what was
-caught. Scores that need the edit distance have no SQL; tests check them against golden vectors and a second implementation.
+caught. `scores_sql` has the edit distance as a recursive query.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from ..operators import router as N
 from ..operators import score as D
 from ..sources.tables import Settings
 from . import run as B
+from . import scores_sql
 from .cases import CASES_SQL, candidate, cases
 
 
@@ -111,20 +112,25 @@ def as_scored(c: DataFrame) -> DataFrame:
     return c.select("case_id", F.col("report").alias("reference"), F.col("template_content").alias("submission"), F.col("template_content").alias("template"))
 
 
+def rounded(means: DataFrame, *names: str) -> DataFrame:
+    """Means to nine places, as the order of a sum isn't fixed."""
+    return means.withColumns({x: F.round(x, 9) for x in names or ("f", "i", "res")})
+
+
 def res_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.score_cases(as_scored(cases(spark, sf_dir))).select("case_id", F.round("f", 9).alias("f"), F.round("i", 9).alias("i"), F.round("res", 9).alias("res"))
 
 
 def res_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.score_dataset(D.score_cases(as_scored(cases(spark, sf_dir))))
+    return rounded(D.score_dataset(D.score_cases(as_scored(cases(spark, sf_dir)))))
 
 
 def baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.baselines(cases(spark, sf_dir))
+    return rounded(D.baselines(cases(spark, sf_dir)))
 
 
 def field_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.field_loss(D.field_details(as_scored(cases(spark, sf_dir))))
+    return rounded(R.field_loss(D.field_details(as_scored(cases(spark, sf_dir)))), "loss", "share")
 
 
 def worst_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +138,7 @@ def worst_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.gold_ceiling(cases(spark, sf_dir))
+    return rounded(R.gold_ceiling(cases(spark, sf_dir)))
 
 
 # ---- retrieval
@@ -370,7 +376,7 @@ def label_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def strategy_bakeoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.bake_off(R.strategies(cases(spark, sf_dir)))
+    return rounded(R.bake_off(R.strategies(cases(spark, sf_dir))), "mean", "median")
 
 
 def vocabulary_source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -448,3 +454,8 @@ FROM c LEFT JOIN g USING (case_id) GROUP BY c.case_id""",
     "cache_hits": f"WITH {KEY_SQL} SELECT count(*) AS n, count(*) FILTER (key IN (SELECT key FROM s)) AS n_hits FROM k",
     "cache_misses": f"WITH {KEY_SQL} SELECT doc_id, key FROM k WHERE key NOT IN (SELECT key FROM s)",
 }
+SENTENCE = r"""regexp_replace(trim(regexp_replace(line, '\s+', ' ', 'g')), '([.;:])\s+([A-Z0-9("\x27])', '\1' || chr(1) || '\2', 'g')"""
+ORACLES |= scores_sql.oracles(
+    token_sql, weight_sql, NUMBER, f"{NUMBER} OR w IN ({listed(sorted({*L.LATERALITY, *L.SEVERITY}))})",
+    lambda x: f"flatten(list_transform(string_split({x}, chr(10)), lambda line: list_filter(list_transform(string_split({SENTENCE}, chr(1)), lambda p: trim(p)), lambda p: p <> '')))", ORACLES["guard_numbers"],
+)

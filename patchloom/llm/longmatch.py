@@ -347,3 +347,20 @@ def op10_long_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"), Scratch(spark, "op10"))
     removed = F.col("n_bytes") - F.length("kept")
     return out.select("doc_id", "n_bytes", removed.cast("bigint").alias("n_removed"), F.size("starts").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Bytes are pairs of hexadecimal digits; texts are cut into overlapping parts first, as a part of a string is found by counting from its start.
+OP10_SQL = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+k AS (SELECT r, doc_id, p, substr(h, 2 * p + 1, 698) AS part FROM (SELECT r, doc_id, h, unnest(range(0, greatest(CAST(length(h) // 2 AS BIGINT) - 49, 0), 300)) AS p FROM d)),
+w AS MATERIALIZED (SELECT r, doc_id, p + i AS p, hash(substr(part, 2 * i + 1, 100)) AS x, md5_number(substr(part, 2 * i + 1, 100)) AS y FROM (SELECT r, doc_id, p, part, unnest(range(0, least(300, CAST(length(part) // 2 AS BIGINT) - 49))) AS i FROM k)),
+f AS (SELECT x, y, min(doc_id) AS first, max(doc_id) AS last FROM w GROUP BY x, y HAVING min(doc_id) < max(doc_id)),
+t AS (SELECT r, p FROM w JOIN f USING (x, y) WHERE first < doc_id),
+u AS (SELECT r, p, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + 50 THEN 0 ELSE 1 END AS fresh FROM t),
+g AS MATERIALIZED (SELECT r, min(p) AS a, max(p) + 50 AS b FROM (SELECT r, p, sum(fresh) OVER (PARTITION BY r ORDER BY p) AS run FROM u) GROUP BY r, run),
+e AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS b FROM g UNION ALL SELECT g.r, max(g.b), any_value(length(h) // 2) FROM g JOIN d USING (r) GROUP BY g.r),
+q AS (SELECT r, string_agg(substr(h, 2 * CAST(a AS BIGINT) + 1, 2 * CAST(b - a AS BIGINT)), '' ORDER BY a) AS left_ FROM e JOIN d USING (r) GROUP BY r),
+n AS (SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed FROM g GROUP BY r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(left_, h))) AS kept_sha256
+FROM d LEFT JOIN q USING (r) LEFT JOIN n USING (r)
+"""

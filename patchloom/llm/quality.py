@@ -100,3 +100,36 @@ def judge(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
+
+
+def _windows(n: int) -> str:
+    """Words inside an n-word window that is found twice or more in its text."""
+    words_ = " || ' ' || ".join(["w"] + [f"lead(w, {k}) OVER o" for k in range(1, n)])
+    return f"""
+g{n} AS (SELECT r, p, {words_} AS g FROM w WINDOW o AS (PARTITION BY r ORDER BY p)),
+b{n} AS (SELECT r, p, count(*) OVER (PARTITION BY r, g) > 1 AS twice FROM g{n} WHERE g IS NOT NULL),
+i{n} AS (SELECT w.r, w.p, w.w, max(coalesce(twice, false)) OVER (PARTITION BY w.r ORDER BY w.p ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS inside FROM w LEFT JOIN b{n} b ON b.r = w.r AND b.p = w.p),
+c{n} AS (SELECT r, count(*) FILTER (inside) AS n_words, coalesce(sum(length(w)) FILTER (inside), 0) AS chars FROM i{n} GROUP BY r)"""
+
+
+def _sql(rules: Rules) -> str:
+    sizes = sorted({rules.window, *rules.ngram_share})
+    shares = "".join(f" AND NOT dup_chars_{n} > {share}::DOUBLE * word_chars" for n, share in rules.ngram_share.items())
+    columns = "".join(f", CAST(coalesce(c{n}.chars, 0) AS BIGINT) AS dup_chars_{n}" for n in sorted(rules.ngram_share))
+    return rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS MATERIALIZED (SELECT r, unnest(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS w, generate_subscripts(regexp_extract_all(t, '[^\x20\x09-\x0D]+'), 1) AS p FROM d),
+l AS (SELECT r, line, row_number() OVER (PARTITION BY r, line ORDER BY p) > 1 AS again FROM (SELECT r, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS p FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+lc AS (SELECT r, count(*) FILTER (again) AS n, coalesce(sum(length(line)) FILTER (again), 0) AS chars FROM l GROUP BY r),
+wc AS (SELECT r, count(*) AS n, sum(length(w)) AS chars FROM w GROUP BY r),
+{",".join(_windows(n) for n in sizes)},
+m AS (
+  SELECT doc_id, CAST(coalesce(wc.n, 0) AS BIGINT) AS n_words, CAST(coalesce(wc.chars, 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(lc.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c{rules.window}.n_words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lc.chars, 0) AS BIGINT) AS dup_line_chars{columns}
+  FROM d LEFT JOIN wc USING (r) LEFT JOIN lc USING (r) {" ".join(f"LEFT JOIN c{n} USING (r)" for n in sizes)}),
+v AS (SELECT *, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND NOT dup_line_chars > {rules.line_share}::DOUBLE * word_chars{shares} AS kept FROM v
+"""
+
+
+OP8_SQL = _sql(Rules())

@@ -19,7 +19,10 @@ QUERIES = {
 
 ORACLES = {
     "op2_recipes": recipes.OP2_SQL,
+    "op3_near": nearby.OP3_SQL,
     "op4_url_rules": urls.OP4_SQL,
     "op5_mixing": mixing.OP5_SQL,
     "op6_tool_calls": toolcalls.OP6_SQL,
+    "op8_quality": quality.OP8_SQL,
+    "op10_long_matches": longmatch.OP10_SQL,
 }

@@ -21,114 +21,150 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import BYTE, Scratch, Spans, blocks, table, words
+from ._base import BYTE, K2, Scratch, Spans, blocks, mix, table, words
 from ._units import gather
 
-MAGIC = b"RPG1"
+MAGIC = b"RPG2"
 STEP = 1024
 #: Ids of a shard at which it is closed, after the block of whole documents that reaches them.
 SHARD_IDS = 1 << 20
-#: A pair that occurs less often in its shard isn't replaced.
-LEAST = 256
+#: Occurrences from which a rule pays for itself: it takes two symbols and a length, and makes all symbols a little wider; each occurrence saves one.
+LEAST = 4
 
 
 # ---- the grammar
 
 
-def compress(ids: np.ndarray, vocabulary: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """The remaining sequence and the rules (pairs); rule i is the symbol vocabulary + i.
+def length_of(symbols: np.ndarray, long: np.ndarray, vocabulary: int) -> np.ndarray:
+    """How many ids each symbol stands for."""
+    return np.append(long, 1)[np.where(symbols >= vocabulary, symbols - vocabulary, len(long))]
 
-    Each round replaces all pairs found at least as often as a sixteenth of the most frequent one, the more frequent first where
-    they overlap, and repeats of one symbol from the left. Rounds go on until no pair occurs `least` times.
+
+def compress(ids: np.ndarray, vocabulary: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The remaining sequence, the rules (pairs; rule i is the symbol vocabulary + i) and their expansion lengths.
+
+    A round replaces all pairs found at least as often as a sixteenth of the most frequent one, the more frequent first where they overlap, and
+    repeats of one symbol from the left. The rounds after it look only at pairs with a symbol of the round before, as no others can have
+    become frequent; where none of these reaches the bound, all pairs are counted anew. This ends when no pair occurs `least` times.
     """
-    seq, rules = ids.astype(np.int32), np.zeros((0, 2), np.int64)
+    seq, rules, long = ids.astype(np.int32), np.zeros((0, 2), np.int64), np.ones(0, np.int64)
+    at, bound = None, least
     while len(seq) > 1:
+        whole = at is None
+        if whole:
+            at = np.arange(len(seq) - 1)
         small = vocabulary + len(rules) <= 0xFFFF
-        wide = seq.astype(np.uint32 if small else np.int64)
-        keys = wide[:-1] << (16 if small else 32) | wide[1:]
+        keys = seq[at].astype(np.uint32 if small else np.int64) << (16 if small else 32) | seq[at + 1].astype(np.uint32 if small else np.int64)
         order = np.argsort(keys)
         ordered = keys[order]
         starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
         counts = np.diff(np.append(starts, len(ordered)))
-        chosen = np.flatnonzero(counts >= max(least, counts.max() // 16))
-        if not len(chosen):
-            break
+        if whole:
+            bound = max(least, counts.max() // 16)
+        chosen = np.flatnonzero(counts >= bound)
         chosen = chosen[np.lexsort((ordered[starts[chosen]], -counts[chosen]))]
-        places = gather(order, starts[chosen], counts[chosen])
-        level = np.full(len(seq) + 1, len(chosen), np.int32)  # of the pair at i, in level[i + 1]
-        level[places + 1] = np.repeat(np.arange(len(chosen), dtype=np.int32), counts[chosen])
-        at = np.flatnonzero(level < len(chosen)) - 1
-        run = np.flatnonzero(np.append(True, (at[1:] != at[:-1] + 1) | (level[at[1:] + 1] != level[at[:-1] + 1])))
-        odd = (np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2
-        level *= 2
-        level[at + 1] += odd
-        after = np.append(level[2:], 2 * len(chosen))
-        at = at[(level[at + 1] < level[at]) & (level[at + 1] < after[at])]
-        which, new = np.unique(level[at + 1] // 2, return_inverse=True)
-        lead = order[starts[chosen[which]]]
-        pairs = np.stack([seq[lead], seq[lead + 1]], 1)
-        seq[at] = vocabulary + len(rules) + new
-        rules = np.concatenate([rules, pairs])
+        lead = at[order[starts[chosen]]]
+        ranked = np.full(len(starts), -1, np.int32)
+        ranked[chosen] = np.arange(len(chosen), dtype=np.int32)
+        level = np.empty(len(at), np.int32)
+        level[order] = np.repeat(ranked, counts)
+        some = np.flatnonzero(level >= 0)
+        places, level = at[some], level[some]
+        beside = places[1:] == places[:-1] + 1
+        run = np.flatnonzero(np.append(True, ~beside | (level[1:] != level[:-1]))[: len(places)])
+        level = 2 * level + (np.arange(len(places)) - np.repeat(run, np.diff(np.append(run, len(places))))) % 2
+        wins = np.ones(len(places), bool)
+        wins[1:] &= ~beside | (level[1:] < level[:-1])
+        wins[:-1] &= ~beside | (level[:-1] < level[1:])
+        places, level = places[wins], level[wins] // 2
+        pays = np.bincount(level, minlength=len(chosen)) >= least  # where others took its places, a pair may have too few left
+        if not pays.any():
+            if whole:
+                break
+            at = None
+            continue
+        places, level = places[pays[level]], level[pays[level]]
+        pairs = np.stack([seq[lead[pays]], seq[lead[pays] + 1]], 1).astype(np.int64)
+        seq[places] = vocabulary + len(rules) + (np.cumsum(pays) - 1)[level]
+        rules, long = np.concatenate([rules, pairs]), np.concatenate([long, length_of(pairs, long, vocabulary).sum(axis=1)])
         stay = np.ones(len(seq), bool)
-        stay[at + 1] = False
+        stay[places + 1] = False
         seq = seq[stay]
-    return seq, rules
+        new = places - np.arange(len(places))
+        at = np.stack([new - 1, new], 1).reshape(-1)  # ascending, as no two merges overlap
+        at = at[np.append(True, at[1:] != at[:-1])]
+        at = at[(at >= 0) & (at < len(seq) - 1)]
+        if not len(at):
+            at = None
+    return seq, rules, long
+
+
+def expand(seq: np.ndarray, rules: np.ndarray, long: np.ndarray, vocabulary: int) -> np.ndarray:
+    """The ids that a sequence stands for. Only the rules that it needs are opened, each once, a level of all of them at a time."""
+    used = np.zeros(vocabulary + len(rules), bool)
+    used[seq] = True
+    symbols = np.flatnonzero(used)
+    place = np.cumsum(used) - 1
+    sizes = length_of(symbols, long, vocabulary)
+    starts = np.cumsum(sizes) - sizes
+    flat = np.empty(int(sizes.sum()), np.uint32)
+    todo, at = symbols, starts
+    while len(todo):
+        leaf = todo < vocabulary
+        flat[at[leaf]] = todo[leaf]
+        left, right = rules[todo[~leaf] - vocabulary].T
+        at = at[~leaf]
+        todo, at = np.concatenate([left, right]), np.concatenate([at, at + length_of(left, long, vocabulary)])
+    own = place[seq]
+    return gather(flat, starts[own], sizes[own])
 
 
-def lengths_of(rules: np.ndarray, vocabulary: int) -> np.ndarray:
-    """Expansion lengths of the rules; a rule only uses earlier ones."""
-    out: list[int] = []
-    for a, b in rules.tolist():
-        out.append((out[a - vocabulary] if a >= vocabulary else 1) + (out[b - vocabulary] if b >= vocabulary else 1))
-    return np.array(out, np.int64)
+# ---- the file
 
 
-class Expander:
-    """The ids of each symbol, one after the other in one array; a rule only uses earlier symbols."""
+def squeeze(values: np.ndarray, width: int) -> bytes:
+    """The low `width` bits of each value, without gaps."""
+    bits = np.unpackbits(np.ascontiguousarray(values.astype(">u4")).view(np.uint8).reshape(-1, 4), axis=1)[:, 32 - width :]
+    return np.packbits(bits).tobytes()
 
-    def __init__(self, rules: np.ndarray, vocabulary: int):
-        each: list[np.ndarray] = []
-        of = lambda x: each[x - vocabulary] if x >= vocabulary else np.array([x])
-        for a, b in rules.tolist():
-            each.append(np.concatenate([of(a), of(b)]))
-        self.lengths = np.append(np.ones(vocabulary, np.int64), [len(x) for x in each]).astype(np.int64)
-        self.flat = np.concatenate([np.arange(vocabulary), *each]).astype(np.uint32)
-        self.starts = np.cumsum(self.lengths) - self.lengths
 
-    def __call__(self, seq: np.ndarray) -> np.ndarray:
-        return gather(self.flat, self.starts[seq], self.lengths[seq])
+def unsqueeze(raw: np.ndarray, n: int, width: int) -> np.ndarray:
+    bits = np.unpackbits(raw, count=n * width).reshape(n, width)
+    wide = np.zeros((n, 32), np.uint8)
+    wide[:, 32 - width :] = bits
+    return np.packbits(wide, axis=1).reshape(-1).view(">u4").astype(np.int64)
 
 
-def expand(seq: np.ndarray, rules: np.ndarray, vocabulary: int) -> np.ndarray:
-    return Expander(rules, vocabulary)(seq)
+def narrow(values: np.ndarray) -> tuple[int, bytes]:
+    """Values in the least of 1, 2, 4 or 8 bytes each that all fit in."""
+    most = int(values.max()) if len(values) else 0
+    size = next(k for k in (1, 2, 4, 8) if most < 1 << 8 * k)
+    return size, values.astype(f"<u{size}").tobytes()
 
 
-# ---- the file
+HEAD = "<4s4B6Q"
 
 
 def pack(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray, vocabulary: int, least: int = LEAST) -> bytes:
-    seq, rules = compress(ids, vocabulary, least)
-    long = lengths_of(rules, vocabulary)
-    each = np.ones(len(seq), np.int64)
-    each[seq >= vocabulary] = long[seq[seq >= vocabulary] - vocabulary]
+    """A shard's file. Symbols take as many bits as the largest needs."""
+    seq, rules, long = compress(ids, vocabulary, least)
+    each = length_of(seq, long, vocabulary)
     before = (np.cumsum(each) - each)[::STEP]
-    wide = "<u4" if vocabulary + len(rules) > 0xFFFF else "<u2"
-    parts = [
-        np.array([x is None for x in doc_ids], np.uint8), np.array([x or 0 for x in doc_ids], "<i8"), sizes.astype("<u8"),
-        rules.astype("<u4"), long.astype("<u8"), before.astype("<u8"), seq.astype(wide),
-    ]
-    head = struct.pack("<4sB6Q", MAGIC, int(wide[2]), vocabulary, len(doc_ids), len(ids), len(rules), len(before), len(seq))
-    return head + b"".join(x.tobytes() for x in parts)
+    width = max(1, int(vocabulary + len(rules)).bit_length())
+    (size_size, sizes_), (long_size, long_), (before_size, before_) = narrow(sizes), narrow(long), narrow(before)
+    head = struct.pack(HEAD, MAGIC, width, size_size, long_size, before_size, vocabulary, len(doc_ids), len(ids), len(rules), len(before), len(seq))
+    null = np.packbits(np.array([x is None for x in doc_ids], bool)).tobytes()
+    return b"".join([head, null, np.array([x or 0 for x in doc_ids], "<i8").tobytes(), sizes_, squeeze(rules.reshape(-1), width), long_, before_, squeeze(seq, width)])
 
 
 class File:
-    """A shard's file, read from its bytes."""
+    """A shard's file, read from its bytes. Symbols are only unpacked, and rules only opened, as far as they are asked for."""
 
     def __init__(self, raw: bytes):
-        magic, wide, self.vocabulary, docs, self.n_ids, rules, steps, symbols = struct.unpack_from("<4sB6Q", raw)
+        magic, self.width, size_size, long_size, before_size, self.vocabulary, docs, self.n_ids, rules, steps, self.symbols = struct.unpack_from(HEAD, raw)
         if magic != MAGIC:
             raise ValueError("not a file of this format")
-        at = struct.calcsize("<4sB6Q")
+        at = struct.calcsize(HEAD)
 
         def take(kind: str, n: int) -> np.ndarray:
             nonlocal at
@@ -136,19 +172,23 @@ class File:
             at += out.nbytes
             return out
 
-        null, ids = take("u1", docs), take("<i8", docs)
+        null, ids = np.unpackbits(take("u1", -(-docs // 8)), count=docs), take("<i8", docs)
         self.doc_ids = [None if x else i for x, i in zip(null.tolist(), ids.tolist(), strict=True)]
-        self.sizes = take("<u8", docs).astype(np.int64)
-        self.rules = take("<u4", 2 * rules).reshape(-1, 2).astype(np.int64)
-        self.long = take("<u8", rules).astype(np.int64)
-        self.before = take("<u8", steps).astype(np.int64)
-        self.seq = take(f"<u{wide}", symbols)
-        self.expand = Expander(self.rules, self.vocabulary)
+        self.sizes = take(f"<u{size_size}", docs).astype(np.int64)
+        self.rules = unsqueeze(take("u1", -(-2 * rules * self.width // 8)), 2 * rules, self.width).reshape(-1, 2)
+        self.long = take(f"<u{long_size}", rules).astype(np.int64)
+        self.before = take(f"<u{before_size}", steps).astype(np.int64)
+        self.seq = take("u1", -(-self.symbols * self.width // 8))
         if at != len(raw):
             raise ValueError("the file's length doesn't fit its head")
 
+    def part(self, a: int, b: int) -> np.ndarray:
+        """Symbols a * STEP to b * STEP; STEP symbols are whole bytes."""
+        n = min(b * STEP, self.symbols) - a * STEP
+        return unsqueeze(self.seq[a * STEP * self.width // 8 :], n, self.width)
+
     def all(self) -> np.ndarray:
-        return self.expand(self.seq)
+        return expand(self.part(0, len(self.before)), self.rules, self.long, self.vocabulary) if self.symbols else np.zeros(0, np.uint32)
 
     def span(self, start: int, stop: int) -> np.ndarray:
         """Ids start to stop, decoding only the blocks of STEP symbols that hold them."""
@@ -158,7 +198,7 @@ class File:
             return np.zeros(0, np.uint32)
         a = int(np.searchsorted(self.before, start, "right")) - 1
         b = int(np.searchsorted(self.before, stop, "left"))
-        out = self.expand(self.seq[a * STEP : b * STEP])
+        out = expand(self.part(a, b), self.rules, self.long, self.vocabulary)
         return out[start - self.before[a] : stop - self.before[a]]
 
 
@@ -194,16 +234,24 @@ def without_mark(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np
     return starts, ends, row
 
 
+#: A second random value for each byte, for a second hash of a word.
+OTHER = mix(np.arange(257, 513, dtype=np.uint64) * K2)
+
+
 class Words:
-    """Ids of words between white space, from the tokenizers library; words seen before come from a bounded store."""
+    """Ids of words between white space, from the tokenizers library; words seen before come from a bounded store.
 
-    def __init__(self, path: str, most: int = 4_000_000):
+    Within a block words are told apart by their bytes, and those of the store by two 64-bit hashes. Where two words share the first one, which
+    `bits` shortens in tests, the block's words are encoded by themselves.
+    """
+
+    def __init__(self, path: str, most: int = 4_000_000, bits: int = 64):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.most = Tokenizer.from_file(path), most
+        self.library, self.most, self.bits = Tokenizer.from_file(path), most, bits
         vocabulary = self.library.get_vocab()
         self.size = max(vocabulary.values()) + 1
         self.ends = np.zeros(self.size, bool)
@@ -211,7 +259,7 @@ class Words:
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
+        self.keys, self.others = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat: np.ndarray = np.zeros(1 << 20, np.int32)
         self.used = 0
@@ -252,7 +300,7 @@ class Words:
         if b"<|" not in data.tobytes():  # no special token, whose case and place would matter
             data = LOWER[data]
             starts, ends, row = without_mark(data, starts, ends, row)
-        keys = Spans(BYTE[data])(starts, ends)
+        keys = Spans(BYTE[data])(starts, ends) >> np.uint64(64 - self.bits)
         order = np.argsort(keys)
         lead = np.append(True, keys[order[1:]] != keys[order[:-1]]) if len(keys) else np.zeros(0, bool)
         of = np.empty(len(keys), np.int64)
@@ -262,9 +310,12 @@ class Words:
         # words that share a hash are the same word: their bytes are compared with those of the first
         sizes = ends - starts
         if (sizes != sizes[first][of]).any() or (gather(data, starts, sizes) != gather(data, starts[first][of], sizes)).any():
-            raise RuntimeError("two words of a block share a 64-bit hash")
+            return self.apart(data, starts, ends, row, len(offs) - 1)
+        other = Spans(OTHER[data])(starts[first], ends[first])
         at = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
         have = self.keys[at] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
+        if (self.others[at[have]] != other[have]).any():
+            return self.apart(data, starts, ends, row, len(offs) - 1)
         new = np.flatnonzero(~have)
         if len(new):
             at_new, n_new = starts[first[new]], sizes[first[new]] + 1
@@ -277,7 +328,7 @@ class Words:
             to = np.searchsorted(self.keys, distinct[new])
             self.starts = np.insert(self.starts, to, self.used + np.cumsum(n) - n)
             self.lengths = np.insert(self.lengths, to, n)
-            self.keys = np.insert(self.keys, to, distinct[new])
+            self.keys, self.others = np.insert(self.keys, to, distinct[new]), np.insert(self.others, to, other[new])
             self.used += len(ids)
             at = np.searchsorted(self.keys, distinct)
         if not len(keys):
@@ -287,6 +338,15 @@ class Words:
         return gather(self.flat, self.starts[at], n), np.bincount(row, n, len(offs) - 1).astype(np.int64)
 
 
+    def apart(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same without hashes."""
+        raw = data.tobytes()
+        known: dict[bytes, int] = {}
+        of = np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+        ids, n = self.encode([x.decode() for x in known])
+        return gather(ids, (np.cumsum(n) - n)[of], n[of]), np.bincount(row, n[of], rows).astype(np.int64)
+
+
 @lru_cache(2)
 def tokenizer(path: str) -> Words:
     return Words(path)
@@ -294,15 +354,17 @@ def tokenizer(path: str) -> Words:
 
 # ---- the operator
 
+PREFIX = 64
 FILES = "part bigint, shard bigint, base bigint, n_ids bigint, payload binary"
 
 
-def write_files(df: DataFrame, path: str, end_id: int, scratch: Scratch, name: str = "files", shard_ids: int = SHARD_IDS, block: int = 4 << 20) -> DataFrame:
+def write_files(df: DataFrame, path: str, end_id: int, scratch: Scratch, name: str = "files", shard_ids: int = SHARD_IDS, block: int = 2 << 20) -> DataFrame:
     """Encodes df(doc_id, text, ..) in ascending doc_id order (null first, ties by text) and writes the shards' files.
 
     Each document gets end_id behind its ids; a null text is the empty one. Returns the files as a table: part and shard give
-    their order, base the ids before the shard within its part. Documents are dealt out by ranges of doc_id, so that no task
-    holds more than its range.
+    their order, base the ids before the shard within its part. Documents are dealt out by ranges of doc_id and of the first PREFIX characters
+    of the text, so that rows without doc_id, or with one doc_id, don't meet in one task unless their texts begin alike. A very long text is a
+    block, and a shard, of its own. Other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,7 +393,7 @@ def write_files(df: DataFrame, path: str, end_id: int, scratch: Scratch, name: s
         if docs:
             yield close()
 
-    ranged = df.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ranged = df.select("doc_id", "text").repartitionByRange("doc_id", F.substring("text", 1, PREFIX)).sortWithinPartitions("doc_id", "text")
     return scratch.write(ranged.mapInArrow(run, FILES), name)
 
 
@@ -355,6 +417,22 @@ def read_files(files: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(before), F.col("part") == F.col("_part")).select("doc_id", (F.col("_before") + F.col("start")).alias("start"), "n_tokens", "ids")
 
 
+def read_some(files: DataFrame, ids: list[int]) -> DataFrame:
+    """doc_id, n_tokens, ids of the documents with these doc_ids only: each file is opened at their spans, the rest isn't decoded."""
+    asked = np.array(sorted(set(ids)), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column("payload").to_pylist():
+                f = File(raw)
+                ends = np.cumsum(f.sizes)
+                own = [i for i, x in enumerate(f.doc_ids) if x is not None and len(asked) and asked[min(np.searchsorted(asked, x), len(asked) - 1)] == x]
+                cells = [f.span(int(ends[i] - f.sizes[i]), int(ends[i])).astype("<u4").tobytes() for i in own]
+                yield pa.RecordBatch.from_arrays([pa.array([f.doc_ids[i] for i in own], pa.int64()), pa.array(f.sizes[own]), pa.array(cells, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+
+    return files.select("payload").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary")
+
+
 def op9_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -72,5 +72,11 @@ ANATOMY = {
     "OTHERFINDINGS": "",
 }
 
+#: Fences around an answer, a brace too many before a key, the span of an object, and pairs of strings that can be saved.
+FENCE = r"(?m)^\s*```(?:json)?\s*|\s*```\s*$"
+BRACES = r'\}\}\s*,\s*"(impression|fields)"'
+OBJECT = r"(?s)(\{.*\})"
+PAIR = r'"([^"]+)"\s*:\s*"((?:[^"\\]|\\.)*)"'
+
 CLIP_TEMPLATE = 4000
 TRUNCATED = "\n...[truncated]"

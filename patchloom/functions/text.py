@@ -30,8 +30,13 @@ def _nfkc(x: pd.Series) -> pd.Series:
 
 
 def nfkc(df: DataFrame, *names: str) -> DataFrame:
-    """df with the named columns in Unicode normal form KC; null becomes the empty text."""
-    return df.withColumns({c: F.coalesce(_nfkc(F.col(c)), F.lit("")) for c in names})
+    """df with the named columns in Unicode normal form KC; null becomes the empty text. Texts of ASCII only aren't sent to Python."""
+
+    def one(x: Column) -> Column:
+        odd = x.rlike(r"[^\x00-\x7F]")
+        return F.when(odd, _nfkc(F.when(odd, x))).otherwise(F.coalesce(x, F.lit("")))
+
+    return df.withColumns({c: one(F.col(c)) for c in names})
 
 
 def record(**parts: Column) -> Column:

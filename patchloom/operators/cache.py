@@ -1,4 +1,4 @@
-"""A response cache as a table (key, raw): hits are a join, misses an anti join, and a merge keeps what was there first."""
+"""A response cache as a table (key, raw): hits are a join, misses an anti join, and in a merge the new entry of a key counts."""
 
 from __future__ import annotations
 

@@ -22,28 +22,59 @@ def _weight(t: str) -> float:
     return L.W_CRITICAL if t in _CRITICAL else L.W_FUNCTION if t in _FUNCTION else L.W_CRITICAL if _DIGIT.search(t) else L.W_CONTENT
 
 
-def edit(a: list[str], b: list[str]) -> float:
-    """Row by row; insertions along a row are a running minimum, so a row costs a few vector operations."""
-    wa, wb = np.array([_weight(t) for t in a]), np.array([_weight(t) for t in b])
-    top = max(wa.sum(), wb.sum())
-    if top == 0 or a == b:
-        return 0.0
-    if not a or not b:
-        return 1.0
+#: Cells of the tables that are worked on at once.
+CELLS = 1 << 21
+
+
+def edits(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """The distance of each pair of token strings. Equal pairs are worked out once; pairs of like size together, a row of all their tables at a
+    time, in which insertions are a running minimum."""
+    place: dict[tuple[str, str], int] = {}
+    of = np.array([place.setdefault(p, len(place)) for p in pairs], np.int64)
+    split = [(a.split(), b.split()) for a, b in place]
+    out, open_ = np.zeros(len(split)), []
     ids: dict[str, int] = {}
-    x, y = (np.array([ids.setdefault(t, len(ids)) for t in s]) for s in (a, b))
-    along = np.append(0.0, np.cumsum(wb))
-    row = along
-    for t, w in zip(x, wa, strict=True):
-        down = row + w
-        np.minimum(down[1:], row[:-1] + np.where(y == t, 0.0, np.maximum(wb, w)), out=down[1:])
-        row = np.minimum.accumulate(down - along) + along
-    return min(1.0, row[-1] / top)
+    for i, (a, b) in enumerate(split):
+        if a != b:
+            out[i] = 1.0
+            if a and b:
+                open_.append(i)
+    for side in split:
+        for t in (*side[0], *side[1]):
+            ids.setdefault(t, len(ids))
+    heavy = np.array([_weight(t) for t in ids] + [0.0])
+    open_.sort(key=lambda i: (len(split[i][1]), len(split[i][0])))
+    at = 0
+    while at < len(open_):
+        to, widest = at, 0
+        while to < len(open_) and (to == at or (to - at + 1) * max(widest, *map(len, split[open_[to]])) <= CELLS):
+            widest = max(widest, *map(len, split[open_[to]]))
+            to += 1
+        own, at = open_[at:to], to
+        nx, ny = (np.array([len(split[i][k]) for i in own]) for k in (0, 1))
+        x, y = np.full((len(own), nx.max()), len(ids)), np.full((len(own), ny.max()), len(ids))
+        for r, i in enumerate(own):
+            x[r, : nx[r]], y[r, : ny[r]] = ([ids[t] for t in side] for side in split[i])
+        wx, wy = heavy[x], heavy[y]
+        along = np.concatenate([np.zeros((len(own), 1)), np.cumsum(wy, axis=1)], axis=1)
+        row = along
+        for j in range(x.shape[1]):
+            w = wx[:, j : j + 1]
+            down = row + w
+            np.minimum(down[:, 1:], row[:, :-1] + np.where(y == x[:, j : j + 1], 0.0, np.maximum(wy, w)), out=down[:, 1:])
+            row = np.where((j < nx)[:, None], np.minimum.accumulate(down - along, axis=1) + along, row)
+        top = np.maximum(wx.sum(axis=1), wy.sum(axis=1))
+        out[own] = np.minimum(1.0, row[np.arange(len(own)), ny] / top)
+    return out[of]
+
+
+def edit(a: list[str], b: list[str]) -> float:
+    return float(edits([(" ".join(a), " ".join(b))])[0])
 
 
 @F.pandas_udf(T.DoubleType())
 def _edit(ref: pd.Series, sub: pd.Series) -> pd.Series:
-    return pd.Series([edit(r.split(), s.split()) for r, s in zip(ref, sub, strict=True)], dtype="float64")
+    return pd.Series(edits(list(zip(ref, sub, strict=True))), dtype="float64")
 
 
 def weighted_edit(ref: Column, sub: Column) -> Column:

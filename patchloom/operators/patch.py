@@ -53,26 +53,28 @@ def last_object(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else balanced(s))
 
 
-PAIR = r'"([^"]+)"\s*:\s*"((?:[^"\\]|\\.)*)"'
-
-
 def parse_json(x: Column) -> Column:
     """The patch in a model's answer, null if there is none: of the repaired text, the span from first to last brace and the last balanced
     object the first with an impression or a field; else what pairs of strings can be found; else the first object."""
-    x = strip(F.regexp_replace(F.coalesce(x, F.lit("")), r"(?m)^\s*```(?:json)?\s*|\s*```\s*$", ""))
-    fixed = F.regexp_replace(x, r'\}\}\s*,\s*"(impression|fields)"', '},"$1"')
-    greedy = F.regexp_extract(x, r"(?s)(\{.*\})", 1)
-    tried = F.filter(F.array(F.when(fixed != x, fixed), greedy, last_object(x)), lambda c: F.schema_of_variant(F.try_parse_json(c)).startswith("OBJECT"))
-    read = F.transform(tried, lambda c: record(v=F.from_json(c, "fields map<string,string>, impression string"), has=F.array_contains(F.json_object_keys(c), "impression")))
+    x = strip(F.regexp_replace(F.coalesce(x, F.lit("")), L.FENCE, ""))
+    fixed = F.regexp_replace(x, L.BRACES, '},"$1"')
+    objects = lambda *each: F.transform(
+        F.filter(F.array(*each), lambda c: F.schema_of_variant(F.try_parse_json(c)).startswith("OBJECT")),
+        lambda c: record(v=F.from_json(c, "fields map<string,string>, impression string"), has=F.array_contains(F.json_object_keys(c), "impression")),
+    )
     size = lambda m: F.coalesce(F.size(F.map_keys(m)), F.lit(0))
-    good = F.get(F.filter(read, lambda r: r["has"] | (size(r["v"]["fields"]) > 0)), F.lit(0))["v"]
+    best = lambda read: F.get(F.filter(read, lambda r: r["has"] | (size(r["v"]["fields"]) > 0)), F.lit(0))["v"]
+    near = objects(F.when(fixed != x, fixed), F.regexp_extract(x, L.OBJECT, 1))
+    # the scan for a balanced object is only for texts in which the others find none
+    last = objects(last_object(F.when(best(near).isNull(), x)))
+    good = F.coalesce(best(near), best(last))
     plain = lambda s: F.coalesce(F.from_json(F.concat(F.lit('{"v":"'), s, F.lit('"}')), "v string")["v"], s)
-    pairs = F.transform(F.arrays_zip(F.regexp_extract_all(x, F.lit(PAIR), F.lit(1)).alias("k"), F.regexp_extract_all(x, F.lit(PAIR), F.lit(2)).alias("v")), lambda p: entry(p["k"], plain(p["v"])))
+    pairs = F.transform(F.arrays_zip(F.regexp_extract_all(x, F.lit(L.PAIR), F.lit(1)).alias("k"), F.regexp_extract_all(x, F.lit(L.PAIR), F.lit(2)).alias("v")), lambda p: entry(p["k"], plain(p["v"])))
     keyed = F.contains(x, F.lit('"fields"')) | F.contains(x, F.lit('"impression"'))
     found = F.when(keyed, F.filter(pairs, lambda p: p["label"] != "impression"))
     imp = F.when(keyed, F.get(F.filter(pairs, lambda p: p["label"] == "impression"), F.lit(0))["content"])
     entries = lambda m: F.coalesce(F.transform(F.map_entries(m), lambda e: entry(e["key"], F.coalesce(e["value"], F.lit("")))), F.array().cast(FIELDS))
-    first = F.get(read, F.lit(0))["v"]
+    first = F.get(F.concat(near, last), F.lit(0))["v"]
     salvaged = (F.size(found) > 0) | (F.coalesce(imp, F.lit("")) != "")
     return (
         F.when(good.isNotNull(), patch(entries(good["fields"]), F.coalesce(good["impression"], F.lit(""))))

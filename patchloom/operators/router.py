@@ -120,16 +120,23 @@ def route(rows: DataFrame, m: Model) -> DataFrame:
     by_rule = own.where(ruled.isNotNull() | (F.size("_labels") == 0)).select("case_id", "pos", "sentence", F.coalesce(ruled, F.lit(L.DROP)).alias("label"), F.lit(0.0).alias("score"), F.when(ruled.isNotNull(), INFINITE).otherwise(0.0).alias("margin"), F.when(F.col("_subset").isNotNull(), "subset").when(F.col("_facet").isNotNull(), "facet").otherwise("nb").alias("source"), F.col("_labels").alias("alternatives"))
     rest = own.where(ruled.isNull() & (F.size("_labels") > 0)).withColumn("source", F.when(banned, "other-excluded").otherwise("nb"))
     pool = F.concat(F.when(banned, F.array_remove("_labels", L.OTHER_FINDINGS)).otherwise(F.col("_labels")), F.array(F.lit(L.DROP)))
-    cand = rest.select("case_id", "pos", F.explode(F.array_distinct(pool)).alias("label")).join(m.classes, "label")
-    cut = rest.select("case_id", "pos", "body_part", tokenize(F.col("sentence")).alias("_t"))
-    feats = cut.select("case_id", "pos", F.explode(features(F.col("_t"), F.col("body_part"), r)).alias("feature")).join(m.vocabulary, "feature").groupBy("case_id", "pos", "feature").agg(F.count(F.lit(1)).alias("k"))
-    scored = cand.join(feats, ["case_id", "pos"], "left").join(m.weights, ["label", "feature"], "left")
-    scores = scored.groupBy("case_id", "pos", "label").agg(F.coalesce(F.sum(F.col("k") * F.coalesce("ll", "default")), F.lit(0.0)).alias("score"))
-    order = W.partitionBy("case_id", "pos").orderBy(F.round("score", 9).desc(), F.col("label").desc())
+    # a sentence's features meet the weights once, and bring those of all labels; the labels are the classes, so a row's map is small
+    cut = rest.select("case_id", "pos", "sentence", "source", "body_part", F.array_distinct(pool).alias("_c"), tokenize(F.col("sentence")).alias("_t"))
+    feats = cut.select("case_id", "pos", "sentence", "source", "_c", F.explode_outer(features(F.col("_t"), F.col("body_part"), r)).alias("feature"))
+    by_feature = m.weights.groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("label", "ll"))).alias("_w"))
+    each = feats.join(by_feature, "feature", "left")
+    each = each.select("case_id", "pos", "sentence", "source", F.col("_w").isNotNull().alias("_known"), F.explode(F.transform("_c", lambda c: record(label=c, ll=F.col("_w")[c]))).alias("_x"))
+    scores = each.groupBy("case_id", "pos", F.col("_x.label").alias("label")).agg(F.first("sentence").alias("sentence"), F.first("source").alias("source"), F.coalesce(F.sum("_x.ll"), F.lit(0.0)).alias("_s"), F.count_if(F.col("_known") & F.col("_x.ll").isNull()).alias("_k"))
+    # a label that the model doesn't know has no score
+    scores = scores.join(m.classes, "label", "left").withColumn("score", F.col("_s") + F.when(F.col("_k") > 0, F.col("_k") * F.col("default")).otherwise(F.when(F.col("default").isNotNull(), 0.0)))
+    order = W.partitionBy("case_id", "pos").orderBy(F.round("score", 9).desc_nulls_last(), F.col("label").desc())
     ranked = scores.withColumn("_n", F.row_number().over(order)).withColumn("_next", F.lead("score").over(order)).where("_n <= 3")
-    best = ranked.groupBy("case_id", "pos").agg(F.min_by("label", "_n").alias("label"), F.min_by("score", "_n").alias("score"), F.min_by(F.coalesce(F.col("score") - F.col("_next"), F.lit(INFINITE)), "_n").alias("margin"), F.transform(F.sort_array(F.collect_list(F.struct("_n", "label"))), lambda x: x["label"]).alias("alternatives"))
-    nb = rest.select("case_id", "pos", "sentence", "source").join(best, ["case_id", "pos"], "left")
-    nb = nb.select("case_id", "pos", "sentence", F.coalesce("label", F.lit(L.DROP)).alias("label"), F.coalesce("score", F.lit(-1e9)).alias("score"), F.coalesce("margin", F.lit(0.0)).alias("margin"), "source", F.coalesce("alternatives", F.array().cast("array<string>")).alias("alternatives"))
+    lead, known = lambda x: F.max(F.when(F.col("_n") == 1, x)), F.col("score").isNotNull()
+    best = ranked.groupBy("case_id", "pos").agg(
+        F.first("sentence").alias("sentence"), lead(F.when(known, F.col("label"))).alias("label"), lead(F.col("score")).alias("score"), lead(F.when(known, F.coalesce(F.col("score") - F.col("_next"), F.lit(INFINITE)))).alias("margin"),
+        F.first("source").alias("source"), F.transform(F.sort_array(F.collect_list(F.when(known, F.struct("_n", "label")))), lambda x: x["label"]).alias("alternatives"),
+    )
+    nb = best.select("case_id", "pos", "sentence", F.coalesce("label", F.lit(L.DROP)).alias("label"), F.coalesce("score", F.lit(-1e9)).alias("score"), F.coalesce("margin", F.lit(0.0)).alias("margin"), "source", "alternatives")
     return by_rule.unionByName(nb)
 
 

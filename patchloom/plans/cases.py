@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,8 +56,11 @@ FROM t
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cases with the columns of the training table, k, and the parts of a candidate patch."""
-    spark.read.parquet(f"{sf_dir}/part.parquet").createOrReplaceTempView("part")
-    return spark.sql(CASES_SQL)
+    view = f"part_{uuid.uuid4().hex}"
+    spark.read.parquet(f"{sf_dir}/part.parquet").createTempView(view)
+    out = spark.sql(CASES_SQL.replace("FROM part)", f"FROM {view})"))
+    spark.catalog.dropTempView(view)
+    return out
 
 
 def candidate() -> Column:

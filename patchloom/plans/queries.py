@@ -35,6 +35,12 @@ def tokenize_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", X.norm_key(F.col("text")).alias("tokens"))
 
 
+def nfkc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of texts behind which stand a ligature, wide digits and a unit in one character."""
+    odd = read(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit("\n" + chr(0xFB01) + "brosis " + chr(0xFF11) + chr(0xFF12) + chr(0x339C))).alias("text"))
+    return X.nfkc(odd, "text").select("doc_id", X.norm_key(F.col("text")).alias("tokens"))
+
+
 def token_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = read(spark, sf_dir, "documents").select(F.explode(X.tokenize(F.col("text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     return t.select("token", "n", X.token_weight(F.col("token")).alias("weight"))
@@ -407,7 +413,7 @@ def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 KEY_SQL = "k AS (SELECT doc_id, sha1('mock' || chr(0) || lang || chr(0) || text) AS key FROM documents), s AS (SELECT DISTINCT key FROM k WHERE doc_id % 3 = 0)"
 
 QUERIES = {
-    "tfidf_topk": tfidf_topk, "tokenize_docs": tokenize_docs, "token_weights": token_weights, "split_sentences": split_sentences, "dict_sentences": dict_sentences,
+    "tfidf_topk": tfidf_topk, "tokenize_docs": tokenize_docs, "nfkc_tokens": nfkc_tokens, "token_weights": token_weights, "split_sentences": split_sentences, "dict_sentences": dict_sentences,
     "canonical_labels": canonical_labels, "clip_texts": clipped, "parse_fields": parse_fields, "gold_patch": gold_patch, "res_case": res_case, "res_dataset": res_dataset,
     "baselines": baselines, "field_loss": field_loss, "worst_k": worst_k, "gold_ceiling": gold_ceiling, "few_shot_prompt": few_shot_prompt, "json_props": json_props,
     "guard_off": guard_query("off"), "guard_numbers": guard_query("numbers"), "guard_strict": guard_query("strict"), "render_report": render_report,
@@ -433,7 +439,7 @@ WITH {FIELDS_SQL},
 g AS (SELECT a.case_id, a.label, a.content FROM (SELECT * FROM f WHERE col = 'r') a JOIN (SELECT * FROM f WHERE col = 't') b ON a.case_id = b.case_id AND a.label = b.label WHERE a.content <> b.content)
 SELECT c.case_id, count(g.label) AS n_fields, coalesce(string_agg(g.label || '=' || g.content, '|'), '') AS fields, any_value(regexp_extract(report, '(?s)IMPRESSION:\n(.*)$', 1)) AS impression
 FROM c LEFT JOIN g USING (case_id) GROUP BY c.case_id""",
-    "json_props": "SELECT event_id, coalesce(json_valid(props), false) AS parsed, CAST(0 AS BIGINT) AS n_fields FROM events",
+    "json_props": "SELECT event_id, coalesce(json_valid(props), false) AS parsed, CASE WHEN json_valid(props) THEN coalesce(len(json_keys(props, '$.fields')), 0) ELSE 0 END AS n_fields FROM events",
     "guard_off": guard_sql("false"),
     "guard_numbers": guard_sql(NUMBER),
     "guard_strict": guard_sql(f"{NUMBER} OR w IN ({listed(sorted({*L.LATERALITY, *L.SEVERITY}))})"),
@@ -449,7 +455,12 @@ FROM c LEFT JOIN g USING (case_id) GROUP BY c.case_id""",
     "order_statistics": "WITH s AS (SELECT length(text) AS v, row_number() OVER (ORDER BY length(text)) - 1 AS p, count(*) OVER () AS n FROM documents) SELECT CAST(min(v) FILTER (p = n // 2) AS INTEGER) AS middle, CAST(min(v) FILTER (p = CAST(floor(n * 0.9) AS BIGINT)) AS INTEGER) AS ninety FROM s",
     "group_means": "SELECT source, count(*) AS n, round(avg(length(text)), 6) AS mean, round(sum(length(text)) / (SELECT sum(length(text)) FROM documents), 9) AS share FROM documents GROUP BY source HAVING count(*) >= 3 ORDER BY avg(length(text)) DESC, source LIMIT 10",
     "label_inventory": f"WITH {FIELDS_SQL} SELECT display, count(*) AS n FROM f WHERE col = 't' GROUP BY display ORDER BY n DESC, display LIMIT 25",
-    "label_sets": f"WITH c AS ({CASES_SQL}) SELECT count(*) AS equal, CAST(0 AS BIGINT) AS adds, CAST(0 AS BIGINT) AS drops FROM c",
+    "label_sets": f"""
+WITH {FIELDS_SQL},
+n AS (SELECT case_id, coalesce(list(label) FILTER (col = 'r'), []) AS r, coalesce(list(label) FILTER (col = 't'), []) AS t FROM f GROUP BY case_id),
+x AS (SELECT len(list_filter(r, lambda y: NOT list_contains(t, y))) AS a, len(list_filter(t, lambda y: NOT list_contains(r, y))) AS d FROM n)
+SELECT count(*) FILTER (a = 0 AND d = 0) AS equal, count(*) FILTER (a > 0) AS adds, count(*) FILTER (d > 0) AS drops FROM x""",
+    "nfkc_tokens": f"SELECT doc_id, array_to_string({token_sql("text || chr(10) || 'fibrosis 12 mm'")}, ' ') AS tokens FROM documents",
     "mean_length": f"SELECT avg(length(report)) AS mean_chars FROM ({CASES_SQL})",
     "cache_hits": f"WITH {KEY_SQL} SELECT count(*) AS n, count(*) FILTER (key IN (SELECT key FROM s)) AS n_hits FROM k",
     "cache_misses": f"WITH {KEY_SQL} SELECT doc_id, key FROM k WHERE key NOT IN (SELECT key FROM s)",

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import nfkc
 from ..operators import cache as C
 from ..operators.patch import FIELDS, fallback_patch, guard, mock_patch, parse_json, parsed, render, select_patch
 from ..operators.retrieve import SYSTEM_PROMPT, shots, user_prompt
@@ -31,7 +32,7 @@ fallback: PatchSource = _answers(fallback_patch)
 
 def remote(complete: Callable[[str, str, float], str | None], settings: Settings, attempts: int = 3, wait: float = 2.0, fatal: tuple[type[Exception], ...] = (), tasks: int = 2) -> PatchSource:
     """A source that calls complete(prompt, system, temperature) for each request, with waits that double; an error of a kind in `fatal` ends the
-    attempts at once, and what stays without answer gives no row. At most `tasks` requests run at a time. There is no default client."""
+    attempts at once, and what stays without answer gives no row. At most `tasks` requests run at a time; only they are in so few tasks. There is no default client."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -51,7 +52,7 @@ def remote(complete: Callable[[str, str, float], str | None], settings: Settings
                         break
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(raws, pa.string())], names=["key", "raw"])
 
-    return lambda requests: requests.select("key", "sample", "prompt").coalesce(tasks).mapInArrow(run, "key string, raw string")
+    return lambda requests: requests.select("key", "sample", "prompt").repartition(tasks).mapInArrow(run, "key string, raw string")
 
 
 def cached(source: PatchSource, store: DataFrame) -> PatchSource:
@@ -77,7 +78,7 @@ def requests(cases: DataFrame, pool: DataFrame, s: Settings, same: bool = False)
 def reports(asked: DataFrame, answers: DataFrame, s: Settings) -> DataFrame:
     """case_id, report: of each case the most aggressive guarded answer, rendered; a case without an answer gets its template."""
     none = F.struct(F.array().cast(FIELDS).alias("fields"), F.lit("").alias("impression"))
-    rows = asked.join(answers, "key", "left").withColumn("p", F.coalesce(parse_json(F.col("raw")), none))
+    rows = asked.join(nfkc(answers, "raw"), "key", "left").withColumn("p", F.coalesce(parse_json(F.col("raw")), none))
     rows = rows.withColumn("c", parsed(F.col("template_content"), F.col("dictation")))
     rows = rows.withColumn("g", guard(F.col("p"), F.col("c"), s.level))
     best = rows.groupBy("case_id").agg(F.first("c").alias("c"), select_patch(F.transform(F.sort_array(F.collect_list(F.struct("sample", "g"))), lambda x: x["g"])).alias("clean"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import nfkc
+from ..operators.cache import merge
 
 TEXTS = ("modality", "body_part", "study_description", "patient_age_band", "patient_sex", "template_content", "dictation", "report")
 TRAIN = T.StructType([T.StructField(c, T.StringType()) for c in ("case_id", *TEXTS)])
@@ -25,7 +28,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType = TRAIN) -> Da
 
 def write_csv(df: DataFrame, path: str) -> None:
     """One file, every cell quoted, for a submission; it holds one row for each case."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    df.repartition(1).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
 def write_result(df: DataFrame, path: str) -> None:
@@ -34,23 +37,34 @@ def write_result(df: DataFrame, path: str) -> None:
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """A cache table; one that isn't there is empty."""
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        return spark.createDataFrame([], CACHE)
-    return spark.read.schema(CACHE).parquet(path)
+    """A cache table; one that isn't there is empty. Its newest whole version counts, as its marker of success tells."""
+    versions = _versions(spark, path)
+    return spark.read.schema(CACHE).parquet(f"{path}/{versions[-1]}") if versions else spark.createDataFrame([], CACHE)
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """The whole versions of a cache table, oldest first."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    names = [x.getPath().getName() for x in fs.listStatus(at)]
+    return sorted(x for x in names if x.startswith("v-") and fs.exists(hadoop.Path(f"{path}/{x}/_SUCCESS")))
 
 
 def write_cache(df: DataFrame, path: str) -> None:
-    """A new version beside the old one, put in its place when it is whole."""
+    """Adds df to the cache as a new version beside the old ones: what they have and df hasn't is taken over, entries of df win. A version counts
+    from when it is whole, so a crash loses nothing. Of two writers at a time one version is the newest; what only the other has is asked anew.
+    The version before the last stays for those that still read it, older ones are deleted."""
     spark = df.sparkSession
-    jvm = spark._jvm
-    df.write.mode("overwrite").parquet(f"{path}.new")
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.new")
-    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    fs.rename(new, old)
+    before = _versions(spark, path)
+    merged = merge(read_cache(spark, path), df.select("key", "raw"))
+    merged.write.parquet(f"{path}/v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for old in before[:-1]:
+        at = hadoop.Path(f"{path}/{old}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @dataclass(frozen=True)

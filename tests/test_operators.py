@@ -139,7 +139,7 @@ def test_prompt(spark, made):
     asked = own.join(Q.shots(own, pool, 2), "case_id").select("case_id", Q.user_prompt(F.col("shots")).alias("p")).collect()
     assert len(asked) == 3
     for r in asked:
-        assert r.p.count("### EXAMPLE") == 2 and r.p.count("### NOW EDIT THIS CASE") == 1 and r.p.endswith("JSON OUTPUT:") and '["' in r.p
+        assert r.p.count("<solved>") == r.p.count("<answer>") == 2 and r.p.count("<case>") == r.p.count("<allowed_labels>") == 1 and r.p.endswith("</case>")
     assert Q.shots(own, pool, 0).first().shots == []
 
 

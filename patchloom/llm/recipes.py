@@ -89,7 +89,7 @@ def verified(held: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def deduplicate(df: DataFrame, scratch: Scratch, bits: int = 64) -> DataFrame:
-    """One row for each row of df(doc_id, text, ..): doc_id, keep_id, group_size, kept, text_sha256.
+    """One row for each row of df(doc_id, text, ..): doc_id, keep_id, group_size, kept, text_sha256, n_points (code points of the text).
 
     Texts are equal when they are identical without white space (space, 09-0D); a null text is the empty one, and all empty texts
     are equal. Of a group the row with the most code points, then the smallest doc_id (null last) stays. Rows that share
@@ -104,11 +104,11 @@ def deduplicate(df: DataFrame, scratch: Scratch, bits: int = 64) -> DataFrame:
     scratch.drop("recipes", "shared")
     # both sides are read from tables, so that adaptive execution can split a group with many rows
     out = named.join(groups, ["_h", "recipe"])
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "n_points")
 
 
 def op2_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicate(table(spark, sf_dir, "documents"), Scratch(spark, "op2"))
+    return deduplicate(table(spark, sf_dir, "documents"), Scratch(spark, "op2")).drop("n_points")
 
 
 OP2_SQL = r"""

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.structure import changed, content_of, fields_of, gold_patch, parse_fields, split_sections
-from ..functions.text import normalize, overlap, record, strip, tokenize
+from ..functions.text import SPACE, has_impression_header, last_sentence, normalize, overlap, record, strip, tokenize
 from .distance import weighted_edit
 from .patch import LEVELS, append_closer, guard, heuristic_impression, parsed, render
 from .score import score_cases, score_dataset
@@ -137,12 +137,19 @@ def order_statistics(rows: DataFrame, value: str) -> DataFrame:
     return upto.agg(pick(F.floor(F.col("_n") / 2)).alias("middle"), pick(F.floor(F.col("_n") * 0.9)).alias("ninety"))
 
 
-def strategies(cases: DataFrame) -> DataFrame:
-    """case_id, strategy, i: the impression's edit for candidate impressions."""
-    tpl, said = F.col("template_content"), F.coalesce("dictation", F.lit(""))
-    options = {"template": split_sections(tpl)["impression"], "dictation": said, "closer": append_closer(said, split_sections(tpl)["impression"]), "heuristic": heuristic_impression(tpl, F.col("dictation")), "empty": F.lit("")}
+def strategies(cases: DataFrame, answer: Column) -> DataFrame:
+    """case_id, strategy, i: the impression's edit for candidate impressions. answer is a column of cases, the impression of an answer's patch; null is blank."""
+    tpl, said, own = F.col("template_content"), F.coalesce("dictation", F.lit("")), strip(F.coalesce("_answer", F.lit("")))
+    closing, rule, header = split_sections(tpl)["impression"], heuristic_impression(tpl, F.col("dictation")), has_impression_header(F.coalesce("dictation", F.lit("")))
+    closed, n = append_closer(own, closing), F.size(F.filter(F.split(own, rf"[{SPACE}]+", -1), lambda w: w != ""))
+    options = {
+        "answer": own, "answer, closer": closed, "answer, else heuristic": F.when(own != "", own).otherwise(rule), "heuristic": rule, "template": closing, "dictation": said, "dictation, closer": append_closer(said, closing), "empty": F.lit(""),
+        "header: answer and last sentence, else answer, closer": F.when(header, F.concat_ws(" ", own, last_sentence(closing))).otherwise(closed),
+        "header: heuristic, else heuristic, closer": F.when(header, rule).otherwise(append_closer(rule, closing)),
+        **{f"answer, closer below {k} words": F.when(n < k, closed).otherwise(own) for k in (15, 25, 40)},
+    }
     each = F.array(*(record(strategy=F.lit(k), text=v) for k, v in sorted(options.items())))
-    rows = cases.select("case_id", split_sections(F.col("report"))["impression"].alias("ref"), F.explode(each).alias("s"))
+    rows = cases.withColumn("_answer", answer).select("case_id", split_sections(F.col("report"))["impression"].alias("ref"), F.explode(each).alias("s"))
     return rows.select("case_id", "s.strategy", weighted_edit(F.col("ref"), F.col("s.text")).alias("i"))
 
 

@@ -273,7 +273,7 @@ def fallback_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 def router_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model's weights for labelled documents: class = quality, body part = language."""
     d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id").select(F.col("text").alias("sentence"), F.col("quality").cast("string").alias("label"), F.col("lang").alias("body_part"))
-    return N.fit(d, N.Router(min_token_count=20)).weights.select("label", "feature", F.round("ll", 6).alias("ll"))
+    return N.fit(d).weights.select("label", "feature", F.round("ll", 6).alias("ll"))
 
 
 ROUTER_SQL = f"""
@@ -283,7 +283,7 @@ f AS (
   UNION ALL SELECT label, unnest(list_transform(range(1, len(t)), lambda i: t[i] || '_' || t[i + 1])) FROM d
   UNION ALL SELECT label, 'bp=' || lower(trim(lang)) FROM d WHERE lang <> ''),
 c AS (SELECT label, feature, count(*) AS k FROM f GROUP BY ALL),
-v AS (SELECT feature, ln((1.0::DOUBLE + (SELECT count(*) FROM d)) / (1 + count(*))) + 1 AS idf FROM c GROUP BY feature HAVING sum(k) >= 20),
+v AS (SELECT feature, ln((1.0::DOUBLE + (SELECT count(*) FROM d)) / (1 + count(*))) + 1 AS idf FROM c GROUP BY feature),
 w AS (SELECT label, feature, k * idf AS wc FROM c JOIN v USING (feature)),
 s AS (SELECT label, ln(sum(wc) + 0.2 * (SELECT count(*) FROM v)) AS base FROM w GROUP BY label)
 SELECT label, feature, round(ln(wc + 0.2) - base, 6) AS ll FROM w JOIN s USING (label)
@@ -382,7 +382,7 @@ def label_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def strategy_bakeoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(R.bake_off(R.strategies(cases(spark, sf_dir))), "mean", "median")
+    return rounded(R.bake_off(R.strategies(cases(spark, sf_dir), F.col("p_impression"))), "mean", "median")
 
 
 def vocabulary_source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -397,8 +397,10 @@ def mean_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cache(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Requests for all documents, and a store of answers for those that have labels."""
     asked = read(spark, sf_dir, "documents").select("doc_id", C.key(F.lit("mock"), F.col("lang"), F.col("text")).alias("key"))
-    store = C.merge(spark.createDataFrame([], "key string, raw string"), asked.where("doc_id % 3 = 0").select("key", F.col("doc_id").cast("string").alias("raw")))
+    judged = read(spark, sf_dir, "labels").select("doc_id")
+    store = C.merge(spark.createDataFrame([], "key string, raw string"), asked.join(judged, "doc_id", "left_semi").select("key", F.col("doc_id").cast("string").alias("raw")))
     return asked, store
 
 
@@ -410,7 +412,7 @@ def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.misses(*_cache(spark, sf_dir)).select("doc_id", "key")
 
 
-KEY_SQL = "k AS (SELECT doc_id, sha1('mock' || chr(0) || lang || chr(0) || text) AS key FROM documents), s AS (SELECT DISTINCT key FROM k WHERE doc_id % 3 = 0)"
+KEY_SQL = "k AS (SELECT doc_id, sha1('mock' || chr(0) || lang || chr(0) || text) AS key FROM documents), s AS (SELECT DISTINCT key FROM k WHERE doc_id IN (SELECT doc_id FROM labels))"
 
 QUERIES = {
     "tfidf_topk": tfidf_topk, "tokenize_docs": tokenize_docs, "nfkc_tokens": nfkc_tokens, "token_weights": token_weights, "split_sentences": split_sentences, "dict_sentences": dict_sentences,

@@ -87,11 +87,16 @@ s AS (
            || 'IMPRESSION:' || chr(10) || CASE WHEN iok THEN own ELSE {CLOSING} END END AS submission
   FROM v),
 {scored} SELECT split_part(case_id, '|', 1) AS level, {MEANS} FROM sc GROUP BY 1"""
-    bakeoff = rf"""WITH RECURSIVE c AS (SELECT *, {CLOSING} AS closing, regexp_extract(report, '(?s)\nIMPRESSION:(.*)$', 1) AS ref FROM ({CASES_SQL})),
-o AS (SELECT *, CASE WHEN dictation = '' THEN '' ELSE dictation || ' ' || string_split(closing, chr(10))[-1] END AS closer FROM c),
+    bakeoff = rf"""WITH RECURSIVE c AS (SELECT *, {CLOSING} AS closing, regexp_extract(report, '(?s)\nIMPRESSION:(.*)$', 1) AS ref, contains(dictation, 'IMPRESSION:') AS header FROM ({CASES_SQL})),
+o AS (SELECT *, string_split(closing, chr(10))[-1] AS tail, p_impression AS own FROM c),
+q AS (SELECT *, CASE WHEN dictation = '' THEN '' ELSE dictation || ' ' || tail END AS closer, CASE WHEN own = '' THEN '' ELSE own || ' ' || tail END AS closed, len(string_split(own, ' ')) AS n FROM o),
+h AS (SELECT *, CASE WHEN dictation = '' THEN closing WHEN header THEN regexp_extract(dictation, '(?s)IMPRESSION:\n(.*)$', 1) ELSE closer END AS rule FROM q),
 s AS MATERIALIZED (
-  SELECT case_id, ref AS a, unnest(['template', 'dictation', 'closer', 'empty', 'heuristic']) AS strategy,
-         unnest([closing, dictation, closer, '', CASE WHEN dictation = '' THEN closing WHEN k % 11 = 0 THEN regexp_extract(dictation, '(?s)IMPRESSION:\n(.*)$', 1) ELSE closer END]) AS b FROM o),
+  SELECT case_id, ref AS a,
+         unnest(['template', 'dictation', 'dictation, closer', 'empty', 'heuristic', 'answer', 'answer, closer', 'answer, else heuristic', 'header: answer and last sentence, else answer, closer',
+                 'header: heuristic, else heuristic, closer', 'answer, closer below 15 words', 'answer, closer below 25 words', 'answer, closer below 40 words']) AS strategy,
+         unnest([closing, dictation, closer, '', rule, own, closed, CASE WHEN own = '' THEN rule ELSE own END, CASE WHEN header THEN own || ' ' || tail ELSE closed END,
+                 CASE WHEN header OR contains(rule, tail) THEN rule ELSE rule || ' ' || tail END, CASE WHEN n < 15 THEN closed ELSE own END, CASE WHEN n < 25 THEN closed ELSE own END, CASE WHEN n < 40 THEN closed ELSE own END]) AS b FROM h),
 {edit_sql("s", tokens, weight)}
 SELECT strategy, round(avg(edit), 9) AS mean, round(quantile_cont(edit, 0.5), 9) AS median FROM s JOIN e USING (a, b) GROUP BY strategy"""
     share = lambda y: f"len(list_filter(list_distinct(x), lambda w: list_contains({y}, w))) / greatest(1, len(list_distinct(x)))::DOUBLE"

@@ -238,6 +238,23 @@ def test_validation(spark, made):
     assert R.validate_submission(bad.drop("report"), few).first().problem == "no column report"
 
 
+def test_strategies(spark):
+    """Closers by length, header and what is missing: a candidate equal to the reference costs 0."""
+    long = "A b c d e f g h i j k l m n o p q r s t."  # 20 words
+    tpl = "FINDINGS:\nLungs: Clear.\n\nIMPRESSION:\nNormal study. Follow up."
+    case = lambda i, said, own, ref: (i, "Chest", said, tpl, "FINDINGS:\nLungs: Clear.\n\nIMPRESSION:\n" + ref, own)
+    df = spark.createDataFrame([case("long", "x", long, long), case("closed", "x", long, long + " Follow up."), case("header", "Impression\nEffusion.", "Effusion.", "Effusion. Follow up."), case("none", "", None, "Normal study. Follow up.")],
+                               "case_id string, body_part string, dictation string, template_content string, report string, own string")
+    free = {}
+    for r in R.strategies(df, F.col("own")).collect():
+        free.setdefault(r.case_id, set()).update([r.strategy] if r.i == 0 else [])
+    below = [f"answer, closer below {k} words" for k in (15, 25, 40)]
+    assert free["long"] == {"answer", "answer, else heuristic", below[0]}
+    assert free["closed"] == {"answer, closer", "header: answer and last sentence, else answer, closer", *below[1:]}
+    assert {"answer, closer", "header: answer and last sentence, else answer, closer"} <= free["header"] and "header: heuristic, else heuristic, closer" not in free["header"]
+    assert {"template", "heuristic", "answer, else heuristic", "header: heuristic, else heuristic, closer"} <= free["none"] and "answer" not in free["none"]
+
+
 def test_small_reports(spark):
     df = spark.createDataFrame([("a", 1.0, 2), ("a", 3.0, 8), ("b", 5.0, 16), ("b", 5.0, 0)], "g string, v double, n int")
     assert {r.g: (r.n, r["mean"], r["share"]) for r in R.bucket_share(df, "g", "v").collect()} == {"a": (2, 2.0, 4 / 14), "b": (2, 5.0, 10 / 14)}

@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -161,14 +162,35 @@ def names(keys: np.ndarray, edge: np.ndarray) -> pa.Array:
     return pa.array([raw[i : i + 16] for i in range(0, len(raw), 16)], pa.binary())
 
 
+def short(key: Column, step: int) -> Column:
+    """64 bits of a set's name, others for each step."""
+    return F.xxhash64(key, F.lit(step))
+
+
+def numbered(classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
+    """classes(key, ..) with node, and that table's name: 64 bits that no two keys share: of those that do, all but the least key take others, until none do."""
+    out, step = classes.withColumn("node", short(F.col("key"), 0)), 0
+    while True:
+        held = scratch.write(out, f"classes-{step}")
+        if step:
+            scratch.drop(f"classes-{step - 1}")
+        shared = held.groupBy("node").agg(F.min("key").alias("_least"), F.max("key").alias("_last")).where("_least < _last").select("node", "_least")
+        if shared.isEmpty():
+            return held, f"classes-{step}"
+        step += 1
+        # a left join keeps every class; only the few that share a node are in the other table
+        out = held.join(shared, "node", "left").withColumn("node", F.when(F.col("key") > F.col("_least"), short(F.col("key"), step)).otherwise(F.col("node"))).drop("_least")
+
+
 def with_node(df: DataFrame, p: Near) -> DataFrame:
-    """node, text: the class of each text, from the text itself."""
+    """node, text: one of the rows of df(text, key, node) for each node, whose text has the set that key names, as rows of one doc_id may have other texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in blocks(batches, "text"):
-            yield pa.RecordBatch.from_arrays([names(*shingles(data, offs, p.shingle)), rows.column("text")], names=["key", "text"])
+            own = pc.equal(names(*shingles(data, offs, p.shingle)), rows.column("key"))
+            yield rows.select(["node", "text"]).filter(own)
 
-    return df.select("text").mapInArrow(run, "key binary, text string").select(F.xxhash64("key").alias("node"), "text")
+    return df.select("text", "key", "node").mapInArrow(run, "node bigint, text string").dropDuplicates(["node"])
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, p: Near) -> DataFrame:
@@ -279,7 +301,7 @@ def joins(clusters: DataFrame, labels: DataFrame, texts: DataFrame, p: Near) ->
         a, b = spanning(found())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    rows = outer.unionByName(mixed).join(texts.dropDuplicates(["node"]), "node")
+    rows = outer.unionByName(mixed).join(texts, "node")
     return rows.groupBy("cluster", "kind", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
@@ -294,7 +316,7 @@ def near_duplicates(df: DataFrame, scratch: Scratch, p: Near = Near()) -> DataFr
     held = scratch.write(signatures(df, p), "signatures")
     # one class for each distinct set; its bits and bands are those of any of its rows
     every = held.where("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc"), *(F.first(x).alias(x) for x in ("n", "bits", "bands")))
-    classes = scratch.write(every.withColumn("node", F.xxhash64("key")), "classes")
+    classes, classes_name = numbered(every, scratch)
     buckets = classes.select("node", F.explode("bands").alias("bucket"))
     leads = buckets.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size")).where("lead < last")
     leads = scratch.write(leads.select("bucket", "lead", "size"), "leads")
@@ -308,7 +330,7 @@ def near_duplicates(df: DataFrame, scratch: Scratch, p: Near = Near()) -> DataFr
     clusters = clusters.join(wider.toDF("label", "_w"), "label", "left").selectExpr("node", "coalesce(_w, label) AS cluster")
     lone = members.select("node").distinct().join(clusters, "node", "left_anti").join(wider.toDF("node", "cluster"), "node")
     clusters = scratch.write(clusters.unionByName(lone), "all-clusters")
-    asked = clusters.join(classes.select("node", "doc"), "node").select(F.col("doc").alias("_doc")).distinct()
+    asked = clusters.select("node").join(classes.select("node", "key", F.col("doc").alias("_doc")), "node")
     texts = scratch.write(with_node(df.select("doc_id", "text").join(asked, F.col("doc_id") == F.col("_doc")), p), "texts")
     links = scratch.write(confirmed(best, texts, p), "links")
     labels = components(links, scratch, "first")
@@ -318,7 +340,7 @@ def near_duplicates(df: DataFrame, scratch: Scratch, p: Near = Near()) -> DataFr
     tops = scratch.write(tops.select("key", "doc", F.coalesce("_top", "_l").alias("top")), "tops")
     least = scratch.write(tops.groupBy("top").agg(F.min("doc").alias("component_id")), "least")
     final = scratch.write(tops.join(least, "top").select(F.col("key").alias("_key"), "component_id"), "final")
-    scratch.drop("members", "star", "best", "all-clusters", "texts", "links", "leads", "classes", "tops", "least", "clusters-labels", "wider-labels", "first-labels", "second-labels")
+    scratch.drop("members", "star", "best", "all-clusters", "texts", "links", "leads", classes_name, "tops", "least", "clusters-labels", "wider-labels", "first-labels", "second-labels")
     out = held.where("n > 0").join(final, F.col("key") == F.col("_key"), "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     empty = held.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.union(empty).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

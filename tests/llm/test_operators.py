@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from patchloom.llm import crf, grammar, longmatch, mixing, nearby, pieces, quality, queries, recipes, runindex, toolcalls, urls
 from patchloom.llm._base import Scratch, flat
@@ -127,6 +128,19 @@ def test_near_with_links_that_are_no_stars(spark):
     same(got.select("doc_id", "n_shingles", "component_id", "kept"), brute.near(docs, 2))
 
 
+def test_near_where_unlike_sets_share_their_64_bits(spark, df, docs, monkeypatch):
+    plain = nearby.short
+    monkeypatch.setattr(nearby, "short", lambda key, step: F.pmod(plain(key, 0), F.lit(3)) if step == 0 else plain(key, step))
+    same(nearby.near_duplicates(df, Scratch(spark, "t"), nearby.Near(shingle=2)).select("doc_id", "n_shingles", "component_id", "kept"), brute.near(docs, 2))
+
+
+def test_near_of_texts_that_repeat_under_one_id(spark):
+    base = [f"w{i}" for i in range(60)]
+    docs = [(5, " ".join(base))] * 40 + [(5, "quite another text under that id")] * 3 + [(9, " ".join([*base[:-1], "x"]))] * 4
+    got = nearby.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"), Scratch(spark, "t"), nearby.Near(shingle=2))
+    assert {tuple(r) for r in got.select("doc_id", "component_id").collect()} == {(5, 5), (9, 5)} and got.count() == len(docs)
+
+
 def test_estimate_is_near_the_similarity():
     p, rng = nearby.Near(rows=8, bands=64), np.random.default_rng(3)
     for share in (0.2, 0.5, 0.8, 0.95):

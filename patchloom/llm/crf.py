@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._base import K1, K2, U64, Spans, blocks, mix, table
+from ._base import K1, K2, U64, Spans, blocks, mix, release, table
 from ._units import gather
 
 
@@ -90,6 +90,17 @@ def split(data: np.ndarray, offs: np.ndarray) -> Split:
     return Split(of, np.searchsorted(offs, starts, side="right") - 1, distinct, flat, edge)
 
 
+def joined(parts: list[Split], rows: list[int]) -> Split:
+    """What split() gives for blocks one after the other, of which each has so many rows, from their own splits."""
+    n, chars = [np.append(0, np.cumsum([len(x) for x in each])) for each in ([p.keys for p in parts], [p.flat for p in parts])]
+    keys, first, back = np.unique(np.concatenate([p.keys for p in parts]), return_index=True, return_inverse=True)
+    starts = np.concatenate([p.edge[:-1] + c for p, c in zip(parts, chars[:-1], strict=True)])[first]
+    sizes = np.concatenate([np.diff(p.edge) for p in parts])[first]
+    of = np.concatenate([back[p.of + i] for p, i in zip(parts, n[:-1], strict=True)])
+    row = np.concatenate([p.row + r for p, r in zip(parts, np.append(0, np.cumsum(rows))[:-1], strict=True)])
+    return Split(of, row, keys, gather(np.concatenate([p.flat for p in parts]), starts, sizes), np.append(0, np.cumsum(sizes)))
+
+
 def features(s: Split, t: Training) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each n-gram length the buckets of all n-grams of the distinct words and where the words' n-grams begin; every word has some."""
     spans = Spans(value(s.flat))
@@ -153,14 +164,20 @@ def posteriors(scores: np.ndarray, sizes: np.ndarray, moves: np.ndarray, pairs:
     return alpha, expected
 
 
+#: Texts that are split at once, and sequences that go forward and backward at once, when a model is fitted on the driver.
+FIT_TEXTS, FIT_SEQUENCES = 50, 2048
+
+
 def fit(texts: list[str], langs: list[str], t: Training = Training()) -> Model:
     """Adam on the whole sample: log likelihood of labels in sequences that switch between texts."""
     from ._base import flat as flatten
 
     labels = sorted(set(langs))
     k = len(labels)
-    data, offs = flatten(pa.array(texts, pa.string()))
-    s = split(data, offs)
+    # by blocks, as a split takes some fifty bytes for each character while it works
+    parts = [texts[at : at + FIT_TEXTS] for at in range(0, len(texts), FIT_TEXTS)]
+    s = joined([split(*flatten(pa.array(x, pa.string()))) for x in parts], [len(x) for x in parts])
+    release()
     gold_of_row = np.array([labels.index(x) for x in langs])
     # runs of words, each from one text, in random order one after the other and cut into sequences
     rng = np.random.default_rng(t.seed)
@@ -184,14 +201,16 @@ def fit(texts: list[str], langs: list[str], t: Training = Training()) -> Model:
     inside[begins] = False
     follow = np.flatnonzero(inside)  # positions with one before them in their sequence
     spread = lambda index, rows, size, at=slice(None): np.stack([np.bincount(index, rows[:, j][at], size) for j in range(k)], 1)
+    true = np.bincount(gold[follow - 1] * k + gold[follow], minlength=k * k).reshape(k, k)
     model = Model(labels, params[0], s.keys[lexicon], params[1], params[2], t)
     for i in range(1, t.rounds + 1):
-        scores = model.emissions(s)[of].astype(np.float64)
-        p, pair = posteriors(scores, seq, params[2].astype(np.float64), pairs=True)
-        error = p.copy()
-        error[np.arange(len(of)), gold] -= 1
-        by_word = spread(of, error, len(s.keys))
-        true = np.bincount(gold[follow - 1] * k + gold[follow], minlength=k * k).reshape(k, k)
+        scores, by_word, pair = model.emissions(s), np.zeros((len(s.keys), k)), np.zeros((k, k))
+        for at in range(0, len(seq), FIT_SEQUENCES):
+            here = slice(begins[at], begins[at] + seq[at : at + FIT_SEQUENCES].sum())
+            error, some = posteriors(scores[of[here]].astype(np.float64), seq[at : at + FIT_SEQUENCES], params[2].astype(np.float64), pairs=True)
+            error[np.arange(len(error)), gold[here]] -= 1
+            by_word += spread(of[here], error, len(s.keys))
+            pair += some
         grads = [sum(spread(bucket, by_word, 1 << t.bits, word) for bucket, word in grams), by_word[lexicon], pair - true]  # a length at a time
         for x, (m, v), g in zip(params, state, grads, strict=True):
             g = (g / max(len(of), 1) * 100 + t.decay * x).astype(np.float32)
@@ -265,7 +284,10 @@ def label_words(df: DataFrame, t: Training = Training(), model: Model | None = N
 
 def trained(df: DataFrame, t: Training) -> Model:
     texts, langs = sample(df, t)
-    return fit(texts, langs, t) if langs else Model([], np.zeros((0, 0)), np.zeros(0, U64), np.zeros((0, 0)), np.zeros((0, 0)), t)
+    try:
+        return fit(texts, langs, t) if langs else Model([], np.zeros((0, 0)), np.zeros(0, U64), np.zeros((0, 0)), np.zeros((0, 0)), t)
+    finally:
+        release()  # the driver keeps on working, and needn't hold what the fit took
 
 
 def identify(df: DataFrame, t: Training = Training(), model: Model | None = None, passed: bool = False) -> DataFrame:

@@ -141,6 +141,15 @@ def test_near_of_texts_that_repeat_under_one_id(spark):
     assert {tuple(r) for r in got.select("doc_id", "component_id").collect()} == {(5, 5), (9, 5)} and got.count() == len(docs)
 
 
+def test_splits_of_blocks_join_to_the_split_of_all():
+    texts = ["One two, one", "", "12 !", "zwei TWO drei", "one", "über Über"]
+    whole = crf.split(*flat(pa.array(texts)))
+    parts = [texts[:2], texts[2:3], texts[3:]]
+    got = crf.joined([crf.split(*flat(pa.array(p))) for p in parts], [len(p) for p in parts])
+    for name in ("of", "row", "keys", "flat", "edge"):
+        assert getattr(got, name).tolist() == getattr(whole, name).tolist()
+
+
 def test_estimate_is_near_the_similarity():
     p, rng = nearby.Near(rows=8, bands=64), np.random.default_rng(3)
     for share in (0.2, 0.5, 0.8, 0.95):

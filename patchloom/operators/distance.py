@@ -77,6 +77,19 @@ def _edit(ref: pd.Series, sub: pd.Series) -> pd.Series:
     return pd.Series(edits(list(zip(ref, sub, strict=True))), dtype="float64")
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _edit_lists(ref: pd.Series, sub: pd.Series) -> pd.Series:
+    ends = np.cumsum([len(x) for x in ref])
+    flat = edits([p for x, y in zip(ref, sub, strict=True) for p in zip(x, y, strict=True)])
+    return pd.Series([flat[to - len(x) : to] for x, to in zip(ref, ends, strict=True)], dtype=object)
+
+
+def weighted_edits(pairs: Column) -> Column:
+    """weighted_edit of each struct(ref, sub) of an array, as an array. Equal texts aren't taken apart."""
+    side = lambda name: F.transform(pairs, lambda p: F.when(p["ref"] == p["sub"], "").otherwise(norm_key(p[name])))
+    return _edit_lists(side("ref"), side("sub"))
+
+
 def weighted_edit(ref: Column, sub: Column) -> Column:
     """0 for equal tokens, 1 at most; weights of deleted, inserted and the heavier of substituted tokens over the heavier side's."""
     return _edit(norm_key(ref), norm_key(sub))

@@ -58,6 +58,13 @@ def test_baselines_and_ceiling(made):
     assert ceiling["off"] == 0 <= ceiling["numbers"] <= ceiling["strict"]
 
 
+def test_scores_of_null_and_repeated_ids_and_of_repeated_texts(spark):
+    df = spark.createDataFrame([(i, REF, s, TPL) for i, s in ((None, TPL), ("a", TPL), ("a", REF))], "case_id string, reference string, submission string, template string")
+    assert sorted((r.case_id or "", round(r.f, 6), r.i) for r in D.score_cases(df).collect()) == [("", 0.558442, 1.0), ("a", 0.0, 0.0), ("a", 0.558442, 1.0)]
+    many = spark.createDataFrame([("x", REF, TPL, TPL, 3), ("x", REF, REF, TPL, 1), ("x", REF, TPL, TPL, 2), ("y", None, None, None, 1)], "name string, reference string, submission string, template string, n int")
+    assert sorted((r.name, round(r.f, 6), round(r.i, 6), r.n) for r in D.score_means(many, "name").collect()) == [("x", 0.465368, 0.833333, 6), ("y", 0.0, 0.0, 1)]
+
+
 def test_json(spark):
     texts = {
         '```json\n{"fields":{"LUNGS":"A {b}","B":"c"},"impression":"x"}\n```': ([("LUNGS", "A {b}"), ("B", "c")], "x"),

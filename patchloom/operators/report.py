@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.structure import changed, content_of, fields_of, gold_patch, parse_fields, split_sections
 from ..functions.text import SPACE, has_impression_header, last_sentence, normalize, overlap, record, strip, tokenize
-from .distance import weighted_edit
+from .distance import weighted_edits
+from .once import distinct
 from .patch import LEVELS, append_closer, guard, heuristic_impression, parsed, render
 from .score import score_cases, score_dataset
 
@@ -139,22 +140,39 @@ def order_statistics(rows: DataFrame, value: str) -> DataFrame:
 
 def strategies(cases: DataFrame, answer: Column) -> DataFrame:
     """case_id, strategy, i: the impression's edit for candidate impressions. answer is a column of cases, the impression of an answer's patch; null is blank."""
+    return _tried(cases.withColumn("_answer", answer), "case_id")
+
+
+def strategy_counts(cases: DataFrame, answer: Column) -> DataFrame:
+    """strategy, i, n of strategies(): equal cases are worked out once and count as often as they occur."""
+    return _tried(distinct(cases.withColumn("_answer", answer), "report", "template_content", "dictation", "_answer"), "n")
+
+
+def _tried(cases: DataFrame, *keep: str) -> DataFrame:
     tpl, said, own = F.col("template_content"), F.coalesce("dictation", F.lit("")), strip(F.coalesce("_answer", F.lit("")))
-    closing, rule, header = split_sections(tpl)["impression"], heuristic_impression(tpl, F.col("dictation")), has_impression_header(F.coalesce("dictation", F.lit("")))
-    closed, n = append_closer(own, closing), F.size(F.filter(F.split(own, rf"[{SPACE}]+", -1), lambda w: w != ""))
+    # what several options share is a column first, so that it is worked out once for a row
+    rows = cases.select(
+        *keep, said.alias("_said"), own.alias("_own"), split_sections(tpl)["impression"].alias("_closing"), split_sections(F.col("report"))["impression"].alias("_ref"),
+        heuristic_impression(tpl, F.col("dictation")).alias("_rule"), has_impression_header(said).alias("_header"),
+    )
+    rows = rows.withColumns({"_closed": append_closer(F.col("_own"), F.col("_closing")), "_n": F.size(F.filter(F.split("_own", rf"[{SPACE}]+", -1), lambda w: w != ""))})
+    said, own, closing, rule, header, closed, n = (F.col(c) for c in ("_said", "_own", "_closing", "_rule", "_header", "_closed", "_n"))
     options = {
         "answer": own, "answer, closer": closed, "answer, else heuristic": F.when(own != "", own).otherwise(rule), "heuristic": rule, "template": closing, "dictation": said, "dictation, closer": append_closer(said, closing), "empty": F.lit(""),
         "header: answer and last sentence, else answer, closer": F.when(header, F.concat_ws(" ", own, last_sentence(closing))).otherwise(closed),
         "header: heuristic, else heuristic, closer": F.when(header, rule).otherwise(append_closer(rule, closing)),
         **{f"answer, closer below {k} words": F.when(n < k, closed).otherwise(own) for k in (15, 25, 40)},
     }
-    each = F.array(*(record(strategy=F.lit(k), text=v) for k, v in sorted(options.items())))
-    rows = cases.withColumn("_answer", answer).select("case_id", split_sections(F.col("report"))["impression"].alias("ref"), F.explode(each).alias("s"))
-    return rows.select("case_id", "s.strategy", weighted_edit(F.col("ref"), F.col("s.text")).alias("i"))
+    names = sorted(options)
+    rows = rows.select(*keep, F.array(*(record(ref=F.col("_ref"), sub=options[k]) for k in names)).alias("_p"))
+    each = F.explode(F.arrays_zip(F.array(*map(F.lit, names)).alias("strategy"), F.col("_e").alias("i")))
+    return rows.select(*keep, weighted_edits(F.col("_p")).alias("_e")).select(*keep, each.alias("s")).select(*keep, "s.strategy", "s.i")
 
 
 def bake_off(tried: DataFrame) -> DataFrame:
-    return tried.groupBy("strategy").agg(F.avg("i").alias("mean"), F.percentile("i", F.lit(0.5)).alias("median")).orderBy("mean", "strategy")
+    """strategy, mean, median of tried(strategy, i); with a column n, a row counts that often."""
+    n = F.col("n") if "n" in tried.columns else F.lit(1)
+    return tried.groupBy("strategy").agg((F.sum(F.col("i") * n) / F.sum(n)).alias("mean"), F.percentile("i", F.lit(0.5), n).alias("median")).orderBy("mean", "strategy")
 
 
 def best_strategy(tried: DataFrame) -> DataFrame:

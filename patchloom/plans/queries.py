@@ -382,7 +382,7 @@ def label_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def strategy_bakeoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(R.bake_off(R.strategies(cases(spark, sf_dir), F.col("p_impression"))), "mean", "median")
+    return rounded(R.bake_off(R.strategy_counts(cases(spark, sf_dir), F.col("p_impression"))), "mean", "median")
 
 
 def vocabulary_source(spark: SparkSession, sf_dir: str) -> DataFrame:

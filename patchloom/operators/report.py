@@ -11,7 +11,7 @@ from ..functions.text import SPACE, has_impression_header, last_sentence, normal
 from .distance import weighted_edits
 from .once import distinct
 from .patch import LEVELS, append_closer, guard, heuristic_impression, parsed, render
-from .score import score_cases, score_dataset
+from .score import score_means
 
 
 def dev_split(df: DataFrame, n_dev: int = 160, seed: int = 42, id_: str = "case_id") -> DataFrame:
@@ -95,12 +95,12 @@ def gap_closed(base: float, best: float, oracle: float) -> float:
 def gold_ceiling(cases: DataFrame, levels: tuple[str, ...] = LEVELS) -> DataFrame:
     """level, f, i, n, res of reports rendered from gold patches under each guard level."""
     case = parsed(F.col("template_content"), F.col("dictation"))
-    own = cases.select("case_id", "report", "template_content", case.alias("c")).withColumn("p", gold_patch(F.col("report"), F.col("c.fields")))
-    own = own.select("case_id", "report", "template_content", "c", *(guard(F.col("p"), F.col("c"), level).alias(f"g_{level}") for level in levels))
+    own = distinct(cases, "report", "template_content", "dictation")
+    own = own.select("n", "report", "template_content", case.alias("c")).withColumn("p", gold_patch(F.col("report"), F.col("c.fields")))
+    own = own.select("n", "report", "template_content", "c", *(guard(F.col("p"), F.col("c"), level).alias(f"g_{level}") for level in levels))
     subs = F.array(*(record(level=F.lit(level), text=render(F.col("c"), F.col(f"g_{level}"), closer=False)) for level in levels))
-    rows = own.select("case_id", F.col("report").alias("reference"), F.col("template_content").alias("template"), F.explode(subs).alias("s"))
-    rows = rows.select(F.concat_ws("|", "s.level", "case_id").alias("case_id"), "reference", "template", F.col("s.text").alias("submission"))
-    return score_dataset(score_cases(rows).withColumn("level", F.substring_index("case_id", "|", 1)), "level")
+    rows = own.select("n", F.col("report").alias("reference"), F.col("template_content").alias("template"), F.explode(subs).alias("s"))
+    return score_means(rows.select("s.level", "reference", "template", F.col("s.text").alias("submission"), "n"), "level")
 
 
 def value_counts(a: DataFrame, b: DataFrame, column: str, most: int = 10) -> DataFrame:

@@ -66,6 +66,12 @@ def test_scores_of_null_and_repeated_ids_and_of_repeated_texts(spark):
     assert sorted((r.name, round(r.f, 6), round(r.i, 6), r.n) for r in D.score_means(many, "name").collect()) == [("x", 0.465368, 0.833333, 6), ("y", 0.0, 0.0, 1)]
 
 
+def test_ceiling_of_cases_without_ids(made):
+    """A case counts by its texts, whatever its id."""
+    some = made.where("k < 40")
+    assert rows(R.gold_ceiling(some.withColumn("case_id", F.lit(None).cast("string")))) == rows(R.gold_ceiling(some))
+
+
 def test_json(spark):
     texts = {
         '```json\n{"fields":{"LUNGS":"A {b}","B":"c"},"impression":"x"}\n```': ([("LUNGS", "A {b}"), ("B", "c")], "x"),

@@ -104,13 +104,20 @@ def mock_patch(template: Column, dictation: Column) -> Column:
 def fallback_patch(template: Column, dictation: Column) -> Column:
     """For each field with anatomy words the best dictated sentence, before the template's text; the impression is the sentences of more than
     two tokens, at most 600 characters."""
-    sents = split_sentences(dictation)
     vocabulary = F.create_map(*(x for k, v in sorted(L.ANATOMY.items()) for x in (F.lit(k), words(v.split()) if v else F.array().cast("array<string>"))))
-    # a field without anatomy words has no hits
-    of = lambda f: best_sentence(sents, lambda s: F.coalesce(F.size(F.array_intersect(vocabulary[f["label"]], tokenize(s))), F.lit(0)))
-    fields = F.filter(F.transform(fields_of(template), lambda f: entry(f["label"], strip(F.concat_ws(" ", of(f), F.when(of(f).isNotNull(), f["content"]))))), lambda e: e["content"] != "")
-    fields = F.filter(fields, lambda e: F.coalesce(F.size(vocabulary[e["label"]]), F.lit(0)) > 0)
-    return patch(fields, F.substring(F.array_join(F.filter(sents, lambda s: F.size(tokenize(s)) > 2), "\n"), 1, 600))
+    # a field without anatomy words has no hits and no entry
+    named = F.transform(fields_of(template), lambda f: record(label=f["label"], content=f["content"], words=vocabulary[f["label"]]))
+    named = F.filter(named, lambda f: F.coalesce(F.size(f["words"]), F.lit(0)) > 0)
+
+    def done(r: Column) -> Column:
+        """From struct(fields, sents), which a one-element array holds so that sentences are taken apart once and not for each field."""
+        best = F.transform(r["fields"], lambda f: record(label=f["label"], content=f["content"], best=best_sentence(r["sents"], lambda s: F.size(F.array_intersect(f["words"], s["t"])))["s"]))
+        fields = F.transform(best, lambda f: entry(f["label"], strip(F.concat_ws(" ", f["best"], F.when(f["best"].isNotNull(), f["content"])))))
+        said = F.transform(F.filter(r["sents"], lambda s: F.size(s["t"]) > 2), lambda s: s["s"])
+        return patch(F.filter(fields, lambda e: e["content"] != ""), F.substring(F.array_join(said, "\n"), 1, 600))
+
+    sents = F.transform(split_sentences(dictation), lambda s: record(s=s, t=tokenize(s)))
+    return F.get(F.transform(F.array(record(fields=named, sents=sents)), done), F.lit(0))
 
 
 # ---- guard

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import nfkc
 from ..operators import cache as C
+from ..operators.once import digest, distinct
 from ..operators.patch import FIELDS, fallback_patch, guard, mock_patch, parse_json, parsed, render, select_patch
 from ..operators.retrieve import SYSTEM_PROMPT, shots, user_prompt
 from ..operators.score import score_dataset, score_predictions
@@ -22,7 +23,7 @@ PatchSource = Callable[[DataFrame], DataFrame]
 
 def _answers(patch) -> PatchSource:  # noqa: ANN001
     to_json = lambda p: F.to_json(F.struct(F.map_from_entries(p["fields"]).alias("fields"), p["impression"].alias("impression")))
-    return lambda requests: requests.select("key", to_json(patch(F.col("template_content"), F.col("dictation"))).alias("raw")).dropDuplicates(["key"])
+    return lambda requests: requests.select("key", "template_content", "dictation").dropDuplicates(["key"]).select("key", to_json(patch(F.col("template_content"), F.col("dictation"))).alias("raw"))
 
 
 #: Sources that need no model.
@@ -85,9 +86,15 @@ def reports(asked: DataFrame, answers: DataFrame, s: Settings) -> DataFrame:
     return best.select("case_id", render(F.col("c"), F.col("clean")).alias("report"))
 
 
+#: The columns of a case that its prompt, answer and report depend on.
+CONTENT = ("template_content", "dictation", "study_description", "modality", "body_part", "patient_sex", "patient_age_band")
+
+
 def run_dataset(cases: DataFrame, pool: DataFrame, s: Settings = Settings(), source: PatchSource = mock) -> DataFrame:
-    asked = requests(cases, pool, s)
-    return reports(asked, source(asked), s)
+    """case_id, report: one row for each case_id. Cases of equal content are asked, guarded and rendered once, so the source sees a digest of the content as case_id."""
+    ids = cases.select("case_id", digest(*CONTENT).alias("_id")).groupBy("case_id").agg(F.min("_id").alias("_id"))
+    asked = requests(distinct(cases, *CONTENT).drop("n").withColumn("case_id", digest(*CONTENT)), pool, s)
+    return ids.join(reports(asked, source(asked), s).withColumnRenamed("case_id", "_id"), "_id").select("case_id", "report")
 
 
 def sweep(cases: DataFrame, pool: DataFrame, s: Settings, source: PatchSource = mock, n_shots: tuple[int, ...] = (0, 1, 3), levels: tuple[str, ...] = ("off", "numbers", "strict")) -> DataFrame:

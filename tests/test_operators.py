@@ -322,6 +322,14 @@ def test_run(spark, made, tmp_path):
     assert s.temperature(0) == 0.0 and s.temperature(4) == 0.7
 
 
+def test_equal_cases_are_asked_once(made):
+    own, asked = made.where("k < 5"), []
+    twice = own.unionByName(own.withColumn("case_id", F.concat("case_id", F.lit("b"))))
+    out = B.run_dataset(twice, twice, T.Settings(), lambda r: asked.append(r.count()) or B.fallback(r)).collect()
+    got = {r.case_id: r.report for r in out}
+    assert asked == [5] and len(out) == len(got) == 10 and all(got[i] == got[i + "b"] for i in got if not i.endswith("b"))
+
+
 def test_streaming(spark, tmp_path):
     from patchloom.streaming.reports import rendered
 

@@ -296,7 +296,7 @@ def router_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def router_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cases(spark, sf_dir)
-    out = N.route(N.sentences(c), N.train(c))
+    out = N.route_cases(c, N.train(c))
     return out.select("case_id", "pos", "sentence", "label", "source", F.round("margin", 6).alias("margin"))
 
 

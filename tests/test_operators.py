@@ -237,6 +237,16 @@ def test_router_training(spark, made):
         N.fit(spark.createDataFrame([], "sentence string, label string, body_part string"))
 
 
+def test_equal_cases_are_routed_once(made):
+    some = made.where("k < 12")
+    twice = some.unionByName(some.withColumn("case_id", F.concat("case_id", F.lit("b"))))
+    m = N.train(twice)
+    assert rows(m.weights) == rows(N.fit(N.training_set(twice)).weights)
+    assert rows(N.route_cases(twice, m)) == rows(N.route(N.sentences(twice), m))
+    one = some.withColumn("case_id", F.lit("x"))
+    assert rows(N.route_cases(one, m), ["pos", "sentence", "label", "score"]) == rows(N.route_cases(some, m), ["pos", "sentence", "label", "score"])
+
+
 def test_split(made):
     out = R.dev_split(made, 40)
     assert out.where("dev").count() == 40 and out.count() == made.count()

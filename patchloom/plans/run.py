@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import nfkc
 from ..operators import cache as C
-from ..operators.once import digest, distinct
+from ..operators.once import digest, distinct, held
 from ..operators.patch import FIELDS, fallback_patch, guard, mock_patch, parse_json, parsed, render, select_patch
-from ..operators.retrieve import SYSTEM_PROMPT, shots, user_prompt
+from ..operators.retrieve import SYSTEM_PROMPT, shot_lists, user_prompt
 from ..operators.score import score_dataset, score_predictions
 from ..sources.tables import Settings
 
@@ -66,14 +66,27 @@ def cached(source: PatchSource, store: DataFrame) -> PatchSource:
     return answer
 
 
+#: The columns of a case that its prompt, answer and report depend on.
+CONTENT = ("template_content", "dictation", "study_description", "modality", "body_part", "patient_sex", "patient_age_band")
+NO_SHOTS = "array<struct<rank:int,template_content:string,dictation:string,gold:string>>"
+
+
 def requests(cases: DataFrame, pool: DataFrame, s: Settings, same: bool = False) -> DataFrame:
     """One row for each case and sample, with its prompt and cache key. With same, cases are of the pool and aren't their own example."""
-    own = cases.join(shots(cases, pool, s.n_shots, same), "case_id", "left").withColumn("prompt", user_prompt(F.col("shots"))).drop("shots")
-    own = own.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(s.n_samples - 1))))
+    if s.n_shots > 0:
+        of, lists = shot_lists(cases, pool, s.n_shots, same)
+        own = cases.join(of, "case_id", "left")
+    else:
+        own, lists = cases.withColumn("list", F.lit("")), None
+    # a prompt is made once for each content and list of examples
+    rows = distinct(own, *CONTENT, "list").drop("n")
+    rows = rows.withColumn("shots", F.lit(None).cast(NO_SHOTS)) if lists is None else rows.join(lists, "list", "left")
+    rows = held(rows, prompt=user_prompt(F.col("shots"))).select(digest(*CONTENT, "list").alias("_p"), "prompt", F.explode(F.sequence(F.lit(0), F.lit(s.n_samples - 1))).alias("sample"))
     temperature = F.lit(s.temperature(1))
     for i in reversed(range(min(s.n_samples, 1))):
         temperature = F.when(F.col("sample") == i, s.temperature(i)).otherwise(temperature)
-    return own.withColumn("key", C.key(F.lit(s.provider), F.lit(s.model), temperature, F.lit(SYSTEM_PROMPT), F.col("prompt"), F.col("sample")))
+    rows = rows.withColumn("key", C.key(F.lit(s.provider), F.lit(s.model), temperature, F.lit(SYSTEM_PROMPT), F.col("prompt"), F.col("sample")))
+    return own.withColumn("_p", digest(*CONTENT, "list")).drop("list").join(rows, "_p").drop("_p")
 
 
 def reports(asked: DataFrame, answers: DataFrame, s: Settings) -> DataFrame:
@@ -86,10 +99,6 @@ def reports(asked: DataFrame, answers: DataFrame, s: Settings) -> DataFrame:
     return best.select("case_id", render(F.col("c"), F.col("clean")).alias("report"))
 
 
-#: The columns of a case that its prompt, answer and report depend on.
-CONTENT = ("template_content", "dictation", "study_description", "modality", "body_part", "patient_sex", "patient_age_band")
-
-
 def run_dataset(cases: DataFrame, pool: DataFrame, s: Settings = Settings(), source: PatchSource = mock) -> DataFrame:
     """case_id, report: one row for each case_id. Cases of equal content are asked, guarded and rendered once, so the source sees a digest of the content as case_id."""
     ids = cases.select("case_id", digest(*CONTENT).alias("_id")).groupBy("case_id").agg(F.min("_id").alias("_id"))

@@ -188,6 +188,13 @@ def test_every_case_has_its_nearest_examples(spark, sf, made, monkeypatch):
     assert {i: [j for j in x if j != i][:3] for i, x in by_id.items()} == expected
 
 
+def test_equal_cases_share_a_list(made):
+    some = made.where("k < 6")
+    twice = some.unionByName(some.withColumn("case_id", F.concat("case_id", F.lit("b"))))
+    of, lists = Q.shot_lists(twice, twice, 2)
+    assert of.count() == 12 and lists.count() <= 6
+
+
 def test_nearest_fills_up_as_query_does(spark):
     docs = spark.createDataFrame([(1, "red fox runs"), (2, "blue fox"), (3, "green tree"), (4, ""), (5, "red fox runs")], "id bigint, text string")
     asked = spark.createDataFrame([(10, "fox red"), (11, "zzz"), (12, "tree"), (13, "")], "id bigint, text string")

@@ -34,6 +34,17 @@ LEAST = 4
 # ---- the grammar
 
 
+def cells(data: np.ndarray, offs: np.ndarray) -> pa.Array:
+    """The spans of data that begin and end at these bytes, as one column."""
+    return pa.Array.from_buffers(pa.large_binary(), len(offs) - 1, [None, pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(data)])
+
+
+def joined(flat: np.ndarray, offs: np.ndarray, own: pa.Array) -> np.ndarray:
+    """The spans `own` of those between the offsets of flat, whose values are of 32 bits, one after the other."""
+    _, to, out = cells(flat, offs * 4).take(own).buffers()
+    return np.frombuffer(out, flat.dtype)[: np.frombuffer(to, np.int64)[len(own)] // 4]
+
+
 def length_of(symbols: np.ndarray, long: np.ndarray, vocabulary: int) -> np.ndarray:
     """How many ids each symbol stands for."""
     return np.append(long, 1)[np.where(symbols >= vocabulary, symbols - vocabulary, len(long))]
@@ -147,8 +158,7 @@ def expand(seq: np.ndarray, rules: np.ndarray, long: np.ndarray, vocabulary: int
         left, right = rules[todo[~leaf] - vocabulary].T
         at = at[~leaf]
         todo, at = np.concatenate([left, right]), np.concatenate([at, at + length_of(left, long, vocabulary)])
-    own = place[seq]
-    return gather(flat, starts[own], sizes[own])
+    return joined(flat, np.append(starts, len(flat)), pa.array(place[seq]))
 
 
 # ---- the file
@@ -292,10 +302,6 @@ def units(data: np.ndarray, offs: np.ndarray, parts: bool) -> tuple[np.ndarray,
 SECOND = mix(np.arange(257, 513, dtype=np.uint64) * K2)
 
 
-def cells(data: np.ndarray, offs: np.ndarray) -> pa.Array:
-    return pa.Array.from_buffers(pa.large_binary(), len(offs) - 1, [None, pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(data)])
-
-
 class Words:
     """Ids of units of texts from the tokenizers library: words between white space, and parts of them that no token crosses. Ids of units seen before come
     from a bounded store.
